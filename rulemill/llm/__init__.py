@@ -1,0 +1 @@
+"""Rule-corpus engine on Spark."""
