@@ -56,6 +56,13 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def candidates(texts: list[bytes], size: int, filters: list, blocks: int = 1 << 18):
+    """See `_candidates`; texts go through in groups, so that only what is left of them is held together."""
+    for i, j in groups_of(texts):
+        for h, owner, place in _candidates(texts[i:j], size, filters, blocks):
+            yield h, (owner + i).astype(np.int32), place.astype(np.int32)
+
+
+def _candidates(texts: list[bytes], size: int, filters: list, blocks: int):
     """At level len(filters): (hashes of this level, text number, place of the window) for the windows that are left; below the
     last level, of each gram once."""
     words, owner, place = hashed_words(texts)
@@ -107,7 +114,7 @@ def repeated_words(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             parts = list(candidates(as_bytes(batch.column(1)), size, filters))
             if parts:
                 h, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield places(h, keys[owner], place)
+                yield places(h, keys[owner], place.astype(np.int64))
 
     return marks(repeated_places(docs.select("key", "text").mapInArrow(last, PLACES)), size)
 
