@@ -149,7 +149,7 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key = key * np.uint64(257) + padded[j : j + n]
     k = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         sorted_ = key[order]
         new[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
@@ -164,28 +164,37 @@ def repeated_suffixes(text: np.ndarray, size: int) -> np.ndarray:
     """Which places of `text` start a string of `size` symbols that starts elsewhere in it too (separators are 0)."""
     n = len(text)
     order, bwt = transform(text, size)
-    keys = np.sort(bwt.astype(np.int64) * (n + 1) + np.arange(n))
+    step = np.empty(n, np.int64)  # from the place of a suffix to that of the suffix one symbol longer
+    step[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
     cuts = np.concatenate(([True], bwt[1:] != bwt[:-1]))
     run = np.cumsum(cuts) - 1
-    symbol = bwt[cuts].astype(np.int64)
+    begins = np.flatnonzero(cuts)
+    ends = np.concatenate((begins[1:], [n])) - 1
+    symbol = bwt[begins].astype(np.int64)
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     low, high = np.zeros(1, np.int64), np.full(1, n - 1, np.int64)
     for _ in range(size):
         if not len(low):
             break
-        of, until = run[low], run[high]
-        count = until - of + 1
-        which = np.repeat(np.arange(len(low)), count)
-        c = symbol[np.repeat(of - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))]
-        if (count > 1).any():
-            which, c = np.divmod(np.unique(which * 257 + c), 257)
-        new_high = np.searchsorted(keys, c * (n + 1) + high[which] + 1) - 1
-        fresh = ~known[new_high + 1]
-        which, c, new_high = which[fresh], c[fresh], new_high[fresh]
-        new_low = np.searchsorted(keys, c * (n + 1) + low[which])
-        known[new_high + 1] = True
-        low, high = new_low, new_high
+        of = run[low]
+        count = run[high] - of + 1
+        one = count == 1
+        first, last = [low[one]], [high[one]]
+        if not one.all():  # the first and the last place of each symbol in the interval, from the transform's runs
+            l, h, of, count = low[~one], high[~one], of[~one], count[~one]
+            which = np.repeat(np.arange(len(l)), count)
+            r = np.repeat(of - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+            order_ = np.argsort(which * 258 + symbol[r], kind="stable")
+            which, r = which[order_], r[order_]
+            cut = np.flatnonzero((np.diff(which) != 0) | (np.diff(symbol[r]) != 0))
+            a, b = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(r) - 1]))
+            first.append(np.maximum(begins[r[a]], l[which[a]]))
+            last.append(np.minimum(ends[r[b]], h[which[b]]))
+        low, high = step[np.concatenate(first)], step[np.concatenate(last)]
+        fresh = ~known[high + 1]
+        low, high = low[fresh], high[fresh]
+        known[high + 1] = True
     out = np.zeros(n, bool)
     out[order] = ~known[:-1] | ~known[1:]
     return out
@@ -264,7 +273,8 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
 
 def _answered(batches, size: int):
     """Rows sorted by extension and span -> (key, place) of the repeated strings. Spans of whole extensions are gathered to
-    blocks; an extension with a single text is settled by its number of rows."""
+    blocks; an extension with one span, or with none that occurs once, is
+    settled by the number of rows."""
     block: list[tuple[bytes, list[tuple[int, int]], bool]] = []
     group: list[tuple[bytes, list[tuple[int, int]], bool]] = []
     weight = 0
@@ -286,9 +296,10 @@ def _answered(batches, size: int):
 
     def close():
         nonlocal weight
-        if len(group) == 1:
-            if group[0][2]:
-                emit(group[0][1])
+        if len(group) == 1 or all(g[2] for g in group):
+            for _, owners_, many in group:
+                if many:
+                    emit(owners_)
         else:
             block.extend(group)
             weight += sum(len(g[0]) for g in group)
