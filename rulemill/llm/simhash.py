@@ -31,6 +31,8 @@ from .common import attach_groups, lookup, row_salt, stage, table
 SHINGLE = 3
 BITS_APART = 3
 LIST_MOST = 128
+#: Lists with fewer free bits are not cut: they have at most 2^7 fingerprints.
+FREE_LEAST = 8
 #: The 14 blocks of the Steiner system S(3,4,8) on positions 0-7; every 3 positions lie in exactly one block.
 BLOCKS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (0, 2, 4, 6), (0, 2, 5, 7), (0, 3, 4, 7), (0, 3, 5, 6), (4, 5, 6, 7), (2, 3, 6, 7), (2, 3, 4, 5), (1, 3, 5, 7), (1, 3, 4, 6), (1, 2, 5, 6), (1, 2, 4, 7))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -84,10 +86,10 @@ ROOTS = tuple(_mask(set(range(8)) - set(b)) for b in BLOCKS)
 
 @lru_cache(maxsize=1 << 16)
 def finer(mask: int) -> tuple[int, ...]:
-    """The masks that add one of four groups of a mask's free bits; the first cut adds a whole byte each."""
+    """The masks that add one of four groups of a mask's free bits (at least 4); the first cut adds a whole byte each."""
     free = [1 << i for i in range(64) if not mask >> i & 1]
-    step = -(-len(free) // 4)
-    return tuple(mask | sum(free[i : i + step]) for i in range(0, len(free), step))
+    n = len(free)
+    return tuple(mask | sum(free[i * n // 4 : (i + 1) * n // 4]) for i in range(4))
 
 
 def _listed(batches):
@@ -130,12 +132,13 @@ def links(distinct: DataFrame, most: int = LIST_MOST) -> DataFrame:
     """(a, b): all pairs of distinct fingerprints (column fp) within 3 bits, some of them twice."""
     found, todo = [], distinct.select("fp", F.lit(0).cast("long").alias("mask"))
     while True:
-        listed = todo.mapInArrow(_listed, "mask long, key long, fp long")
+        listed = todo.mapInArrow(_listed, "mask long, key long, fp long").distinct()
         sizes = stage(listed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
         own = stage(lookup(listed, sizes, ["mask", "key"]), "listed")
-        short = own.filter(F.col("n") <= most).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+        done = (F.col("n") <= most) | (F.bit_count("mask") > 64 - FREE_LEAST)
+        short = own.filter(done).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
         found.append(stage(short.select("fps").mapInArrow(_verified, "a long, b long"), "links"))
-        todo = own.filter(F.col("n") > most).select("fp", "mask")
+        todo = own.filter(~done).select("fp", "mask").distinct()
         if todo.isEmpty():
             return reduce(DataFrame.unionByName, found)
 
