@@ -47,6 +47,8 @@ class Block:
         self.owners: list[list[str]] = []
         pairs, singles = [], []
         for item, words in items:
+            if not words:
+                continue
             symbols = [self.vocabulary.setdefault(w, len(self.vocabulary) + EDGE + 1) for w in words]
             size = min(window, len(symbols))
             for i in range(len(symbols) - size + 1):
