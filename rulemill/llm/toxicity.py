@@ -31,8 +31,8 @@ DIMS = 8
 WINDOW = 10
 #: A window of fewer n-grams is filled up with empty ones.
 LEAST = 70
-PER_CLASS = 3000
-TRAIN_CHARS = 40_000_000
+PER_CLASS = 2000
+TRAIN_CHARS = 12_000_000
 BLOCK_CHARS = 1 << 20
 #: Marks that end a word; others inside a word stay, as misspellings use them.
 PAUSES = '.,;:!?"()'
@@ -102,29 +102,27 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 64,
     model = {"table": rng.uniform(-1 / DIMS, 1 / DIMS, (ROWS, DIMS)), "softmax": rng.normal(0, 1, DIMS), "offset": 0.0, "scale": 1.0, "shift": 0.0, "flat": len(set(labels)) < 2}
     if model["flat"]:
         return model
-    bags, doc, docs_with = [], [], np.zeros(ROWS, np.int32)
+    parts, doc, lengths, docs_with = [], [], [], np.zeros(ROWS, np.int32)
     for d, text in enumerate(texts):
         rows, at = subwords(text)
         if len(rows):
             docs_with[np.unique(rows)] += 1
-            order = np.argsort(at, kind="stable")
-            rows, at = rows[order], at[order]
-            cut = np.flatnonzero(np.diff(at)) + 1
-            for bag in np.split(rows, cut):
-                bags.append(bag)
-                doc.append(d)
-    doc = np.asarray(doc)
-    lengths = np.asarray([len(b) for b in bags])
+            n = np.bincount(at)
+            parts.append(rows[np.argsort(at, kind="stable")].astype(np.int32))
+            lengths.append(n[n > 0])
+            doc += [d] * len(lengths[-1])
+    flat, doc, lengths = np.concatenate(parts), np.asarray(doc), np.concatenate(lengths)
+    del parts
+    begins = np.cumsum(lengths) - lengths
     sizes = np.maximum(lengths, LEAST)
-    flat, bag_of = np.concatenate(bags), np.repeat(np.arange(len(bags)), lengths)
     e, w = model["table"], model["softmax"]
     squares = np.full(ROWS, damp)
     common = docs_with >= min_docs
     e[~common] = 0
     for epoch in range(epochs):
-        pick, step = np.arange(len(bags)), rate if epoch else rate / 4
+        pick, step = np.arange(len(sizes)), rate if epoch else rate / 4
         if epoch:
-            means = np.bincount(bag_of, (e @ w)[flat], len(bags)) / sizes
+            means = np.add.reduceat((e @ w).astype(np.float32)[flat], begins) / sizes
             top = np.lexsort((means, doc))
             last = top[np.concatenate((np.diff(doc[top]) != 0, [True]))]
             clean = pick[y[doc] == 0]
@@ -135,7 +133,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 64,
         pick = rng.permutation(pick)
         for i in range(0, len(pick), batch):
             chosen = pick[i : i + batch]
-            rows = np.concatenate([bags[b] for b in chosen])
+            rows = np.concatenate([flat[begins[b] : begins[b] + lengths[b]] for b in chosen])
             where = np.repeat(np.arange(len(chosen)), lengths[chosen])
             n = sizes[chosen]
             unique, inv = np.unique(rows, return_inverse=True)
