@@ -71,6 +71,10 @@ def _role(role: Column) -> Column:
     return out
 
 
+def _message(role: str, text: str):
+    return lambda t: F.struct(_role(t[role]).alias("role"), t[text].alias("text"))
+
+
 def _from_mapping(df: DataFrame, name: str, conv: Column) -> DataFrame:
     m = MAPPINGS[name]
     if "row" in m:
@@ -109,7 +113,7 @@ def canonical_json_turns(df: DataFrame, json_col: str = "record", conv_col: str
         if "each" in m:
             array, role, text = m["each"]
             typed = F.try_variant_get("_v", f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            own = F.transform(typed, lambda t, r=role, x=text: F.struct(_role(t[r]).alias("role"), t[x].alias("text")))
+            own = F.transform(typed, _message(role, text))
         elif "turns" in m:
             own = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.try_variant_get("_v", f"$.{p}", "string").alias("text")) for r, p in m["turns"]]), lambda t: t["text"].isNotNull())
         else:
