@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index for each training shard, searched backward for all test phrases.
 
-A shard is a batch of whole documents. Its text is the words' numbers in the benchmark's vocabulary; words that cannot lie in a
+A shard holds whole documents, up to about `SHARD` symbols (a longer document is a shard of its own). Its text is the words' numbers in the benchmark's vocabulary; words that cannot lie in a
 phrase (they or both their neighbour pairs occur in no item) become one separator, so that the index holds only what a phrase
 may match. The index is a suffix array by prefix doubling, its Burrows-Wheeler transform in a wavelet matrix, and suffix
 positions sampled every `SAMPLE` places. All phrases are searched backward at once, by ranks; occurrences are located by
@@ -28,6 +28,7 @@ from .common import table
 WINDOW = 10
 SAMPLE = 16
 BLOCK_WORDS = 1_000_000
+SHARD = 1 << 19
 PAIR_BITS = 24
 #: Bytes that part words, after lower-casing: all ASCII but digits and small letters.
 TO_SPACE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -127,7 +128,8 @@ class FMIndex:
         row = bwt
         for bit in range(max(top.bit_length(), 1) - 1, -1, -1):
             ones = (row >> bit & 1).astype(bool)
-            before = np.concatenate(([0], np.cumsum(ones)))
+            before = np.zeros(len(row) + 1, np.int32)
+            np.cumsum(ones, out=before[1:])
             self.levels.append((bit, before, len(row) - int(before[-1])))
             row = np.concatenate((row[~ones], row[ones]))
 
@@ -171,17 +173,14 @@ class FMIndex:
         return out
 
 
-def search_shard(texts: list[list[bytes]], block: Block) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
-    """Spans (word places, not merged) and items of each document of a shard."""
-    spans, items = [[] for _ in texts], [set() for _ in texts]
-    if not len(block.sizes):
-        return spans, items
-    parts = [block.symbols(words) for words in texts]
+def search_shard(parts: list[tuple[np.ndarray, np.ndarray]], block: Block) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+    """Spans (word places, not merged) and items of each document of a shard, from the documents' (symbols, places)."""
+    spans, items = [[] for _ in parts], [set() for _ in parts]
     sizes = np.asarray([len(p[0]) for p in parts])
-    if not sizes.sum():
+    if not len(block.sizes) or not sizes.sum():
         return spans, items
     text, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(parts)), sizes)
     index = FMIndex(text)
     low, high = index.search(block.phrases, block.sizes)
     found = high - low
@@ -208,20 +207,34 @@ def benchmark_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: s
         yield Block(items, window)
 
 
+def _shard_rows(totals: list[int], parts: list[list], shared: list):
+    """(words, span starts, span ends, items) of each document of a shard; parts holds each block's symbols."""
+    found = [search_shard(part, b.value) for part, b in zip(parts, shared, strict=True)]
+    for d, total in enumerate(totals):
+        spans = [s for part, _ in found for s in part[d]]
+        items = {i for _, part in found for i in part[d]}
+        if spans:
+            a = np.asarray(spans)
+            starts, ends = runs(covered(total, a[:, 0], a[:, 1] - a[:, 0]))
+        else:
+            starts = ends = np.zeros(0, np.int64)
+        yield total, starts, ends, sorted(items)
+
+
 def _searched(batches, column: int, shared: list):
+    """Of a document's words only those that a phrase may match outlive its turn; a shard is searched when it is full."""
     for batch in batches:
-        texts = [words_of(t) for t in as_bytes(batch.column(column))]
-        found = [search_shard(texts, b.value) for b in shared]
-        out = []
-        for d, words in enumerate(texts):
-            spans = [s for part, _ in found for s in part[d]]
-            items = {i for _, part in found for i in part[d]}
-            if spans:
-                a = np.asarray(spans)
-                starts, ends = runs(covered(len(words), a[:, 0], a[:, 1] - a[:, 0]))
-            else:
-                starts = ends = np.zeros(0, np.int64)
-            out.append((len(words), starts, ends, sorted(items)))
+        out, totals, parts, size = [], [], [[] for _ in shared], 0
+        for text in as_bytes(batch.column(column)):
+            words = words_of(text)
+            totals.append(len(words))
+            for part, b in zip(parts, shared, strict=True):
+                part.append(b.value.symbols(words))
+                size += len(part[-1][0])
+            if size >= SHARD:
+                out += _shard_rows(totals, parts, shared)
+                totals, parts, size = [], [[] for _ in shared], 0
+        out += _shard_rows(totals, parts, shared)
         yield batch, out
 
 
