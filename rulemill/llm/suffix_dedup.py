@@ -1,11 +1,12 @@
 """Suffix-array dedup of byte strings: threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 Strings of `size` bytes that start at more than one place of the corpus are found in blocks that Spark deals out so that equal
-strings meet: each string is owned by its lowest-hashed gram of 64 bytes (among places that a hash of 4 bytes picks), and its
-span - the bytes of all strings that the gram owns - goes to the block of the gram's extension to half the size. Grams and
-extensions that occur once are filtered out before anything is shipped; equal spans of a task are shipped once.
+strings meet: each string is owned by its lowest-hashed gram of 64 bytes (among places that a hash of 4 bytes picks). A gram's
+strings are parted by where the gram lies in them; all strings of a part have a longer extension of the gram in common. Their
+span - the bytes of all of them, the extension left out - goes to the block of the extension. Grams and extensions that occur
+once are filtered out before anything is shipped; equal spans of a task are shipped once.
 
-In a block, the spans are joined with separators and sorted to a suffix array; the transform's intervals are extended backward,
+In a block, the spans are joined with separators, a mark and a number in place of each extension, and sorted to a suffix array; the transform's intervals are extended backward,
 breadth first: the queue holds the intervals of all strings of one length, each extension whose right border has no common-prefix
 value yet gets the current length, and the search stops at the minimum length. Borders without a value have common prefixes of
 at least that length: their suffixes are the repeated strings.
@@ -31,6 +32,8 @@ from .repeats import repeated_filter as seen_filter
 
 SIZE = 400
 GRAM = 64
+PARTS = 4
+MARK, DIGITS = 257, 3  # what stands for an extension in a block: a symbol of its own and its number's bytes
 PICK = 15  # of 4 bytes' hash: one place in 16
 BLOCK_BYTES = 1 << 20
 HOT = 20_000
@@ -99,27 +102,27 @@ def owners(values: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: Hash
     return at, low, high, text
 
 
+def part_width(size: int, gram: int) -> int:
+    """How many places a gram has in the strings of one part; their extension has size - width + 1 bytes."""
+    return (size - gram) // PARTS + 1
+
+
 def extended(at, low, high, text, hashes: Hashes, size: int, gram: int):
-    """Each owner's strings parted by whether the gram's extension to half the size lies to its right or left:
-    (extension's hash, place, low, high, text)."""
-    half = size // 2
-    to_right = np.maximum(low, at + half - size)
-    right = to_right <= high
-    to_left = np.minimum(high, at + half - size - 1)
-    left = low <= to_left
-    start = at[left] + gram - half
-    return (
-        np.concatenate((hashes.of(at[right], half), hashes.of(start, half) ^ np.uint64(0x5851F42D4C957F2D))),
-        np.concatenate((at[right], at[left])),
-        np.concatenate((to_right[right], low[left])),
-        np.concatenate((high[right], to_left[left])),
-        np.concatenate((text[right], text[left])),
-    )
+    """Each owner's strings parted by the gram's place in them: (extension's hash, its place, low, high, text)."""
+    width = part_width(size, gram)
+    out = []
+    for part in range(PARTS):
+        place = at - part * width
+        first, last = np.maximum(low, place - width + 1), np.minimum(high, place)
+        has = first <= last
+        h = hashes.of(place[has], size - width + 1) ^ mixed(np.full(1, part + 1, np.uint64))
+        out.append((h, place[has], first[has], last[has], text[has]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _parts(texts: list[bytes], size: int, gram: int, filters: list):
-    """Of each group of texts: (buffer, hashes, first places, extension hashes, low, high, text numbers); with no filter yet, the
-    grams' hashes stand for the extensions'."""
+    """Of each group of texts: (buffer, hashes, first places, extension hashes, their places, low, high, text numbers); with no
+    filter yet, the grams stand for the extensions."""
     for i, j in groups_of(texts):
         data = b"".join(texts[i:j])
         first = np.cumsum([0, *map(len, texts[i:j])])
@@ -133,20 +136,20 @@ def _parts(texts: list[bytes], size: int, gram: int, filters: list):
         h = hashes.of(at, gram)
         if filters:
             known = filters[0].value.has(h)
-            h, _, low, high, text = extended(at[known], low[known], high[known], text[known], hashes, size, gram)
+            h, at, low, high, text = extended(at[known], low[known], high[known], text[known], hashes, size, gram)
             if len(filters) > 1:
                 known = filters[1].value.has(h)
-                h, low, high, text = h[known], low[known], high[known], text[known]
-        yield data, hashes, first, h, low, high, text + i
+                h, at, low, high, text = h[known], at[known], low[known], high[known], text[known]
+        yield data, hashes, first, h, at, low, high, text + i
 
 
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, Burrows-Wheeler transform) of bytes + 1 with 0 as separator, sorted by `depth` symbols at least."""
+    """(suffix array, Burrows-Wheeler transform) of bytes + 1 and marks, with 0 as separator, sorted by `depth` symbols at least."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(7, text.dtype))).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(7):
-        key = key * np.uint64(257) + padded[j : j + n]
+        key = key * np.uint64(MARK + 1) + padded[j : j + n]
     k = 7
     while True:
         order = np.argsort(key)
@@ -185,7 +188,7 @@ def repeated_suffixes(text: np.ndarray, size: int) -> np.ndarray:
             l, h, of, count = low[~one], high[~one], of[~one], count[~one]
             which = np.repeat(np.arange(len(l)), count)
             r = np.repeat(of - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-            order_ = np.argsort(which * 258 + symbol[r], kind="stable")
+            order_ = np.argsort(which * (MARK + 1) + symbol[r], kind="stable")
             which, r = which[order_], r[order_]
             cut = np.flatnonzero((np.diff(which) != 0) | (np.diff(symbol[r]) != 0))
             a, b = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(r) - 1]))
@@ -200,15 +203,29 @@ def repeated_suffixes(text: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def block_answers(spans: list[bytes], size: int) -> list[np.ndarray]:
-    """For each span of a block, which of its strings are repeated in the block."""
-    sizes = np.asarray([len(s) for s in spans])
-    text = np.zeros(int(sizes.sum()) + len(spans), np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    data = np.frombuffer(b"".join(spans), np.uint8)
-    text[np.arange(len(data)) + np.repeat(np.arange(len(spans)), sizes)] = data.astype(np.int64) + 1
+def collapsed(data: bytes, low: int, high: int, place: int, size: int, width: int) -> bytes:
+    """The span of the strings that start in [low, high], without their extension: the length of what lies before it, in two
+    bytes, then what lies before and after it."""
+    return (place - low).to_bytes(2, "big") + data[low:place] + data[place + size - width + 1 : high + size]
+
+
+def block_answers(spans: list[tuple[int, bytes]], width: int) -> list[np.ndarray]:
+    """For each span (number of its extension, bytes) of a block, which of its strings are repeated in the block."""
+    parts, ends = [], []
+    total = 0
+    for number, span in spans:
+        before = 2 + int.from_bytes(span[:2], "big")
+        parts += (span[2:before], b"\0", number.to_bytes(DIGITS, "big"), span[before:], b"\0")
+        total += len(span) + DIGITS  # two bytes of length less, a mark and a separator more
+        ends.append(total)
+    text = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
+    ends = np.asarray(ends)
+    starts = np.concatenate(([0], ends[:-1]))
+    text[ends - 1] = 0
+    text[starts + np.asarray([int.from_bytes(span[:2], "big") for _, span in spans])] = MARK
+    size = width + DIGITS
     found = repeated_suffixes(text, size)
-    return [found[s : s + n - size + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [found[s : e - size] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 SPANS = "h long, span binary, key long, place long"
@@ -217,6 +234,7 @@ SPANS = "h long, span binary, key long, place long"
 def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, runs) of the documents (columns key, text) that have repeated strings."""
     context = docs.sparkSession.sparkContext
+    width = part_width(size, gram)
     filters: list = []
 
     def level(batches):
@@ -236,11 +254,11 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
             texts, keys = as_bytes(batch.column(1)), np.asarray(batch.column(0).to_pylist(), np.int64)
             spans: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             hot_rows = []
-            for data, hashes, first, h, low, high, text in _parts(texts, size, gram, filters):
+            for data, hashes, first, h, at, low, high, text in _parts(texts, size, gram, filters):
                 base = first[np.searchsorted(first, low, "right") - 1]
                 many = filters[2].value.has(h)
-                for x, a, b, t, o in zip(*(y[~many].tolist() for y in (h.view(np.int64), low, high, text, base)), strict=True):
-                    spans.setdefault((x, data[a : b + size]), []).append((int(keys[t]), a - o, b - a + 1))
+                for x, p, a, b, t, o in zip(*(y[~many].tolist() for y in (h.view(np.int64), at, low, high, text, base)), strict=True):
+                    spans.setdefault((x, collapsed(data, a, b, p, size, width)), []).append((int(keys[t]), a - o, b - a + 1))
                 if many.any():
                     n = (high - low + 1)[many]
                     starts = np.repeat(low[many] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
@@ -267,15 +285,15 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
     counted = repeated_places(rows.filter("length(span) = 0").select("h", "key", "place"))
     ready = rows.filter("span is null").select("key", "place")
     dealt = rows.filter("length(span) > 0").repartition("h").sortWithinPartitions("h", "span")
-    found = dealt.mapInArrow(lambda batches: _answered(batches, size), "key long, place long")
+    found = dealt.mapInArrow(lambda batches: _answered(batches, width), "key long, place long")
     return marks(found.unionByName(ready).unionByName(counted), size)
 
 
-def _answered(batches, size: int):
+def _answered(batches, width: int):
     """Rows sorted by extension and span -> (key, place) of the repeated strings. Spans of whole extensions are gathered to
     blocks; an extension with one span, or with none that occurs once, is
     settled by the number of rows."""
-    block: list[tuple[bytes, list[tuple[int, int]], bool]] = []
+    block: list[tuple[int, bytes, list[tuple[int, int]], bool]] = []
     group: list[tuple[bytes, list[tuple[int, int]], bool]] = []
     weight = 0
     keys_out: list[int] = []
@@ -301,14 +319,15 @@ def _answered(batches, size: int):
                 if many:
                     emit(owners_)
         else:
-            block.extend(group)
+            number = block[-1][0] + 1 if block else 0
+            block.extend((number, *g) for g in group)
             weight += sum(len(g[0]) for g in group)
         group.clear()
 
     def solve():
         nonlocal weight
         if block:
-            for (_, owners_, many), flags in zip(block, block_answers([b[0] for b in block], size), strict=True):
+            for (*_, owners_, many), flags in zip(block, block_answers([b[:2] for b in block], width), strict=True):
                 emit(owners_, None if many else flags)
         block.clear()
         weight = 0
