@@ -40,6 +40,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` as a staged table with a row number (_row) that stays the same at every reading."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII (as many characters as bytes) takes the quick built-in."""
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -192,11 +192,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("_component", "_least").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, one document of each component (the smallest id); all columns stay as they are."""
-    gone = stage(near_groups(docs, id_col).filter("component_id <> doc_id" if id_col == "doc_id" else F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return lookup(docs.withColumn("_gone", F.col(id_col)), gone, ["_gone"], "left_anti").drop("_gone")
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
