@@ -6,12 +6,15 @@ misspelling shares most n-grams with the word it comes from. A document's score
 calibration fitted on the training documents. Table and softmax are trained together: first each window with its document's
 label, then toxic documents by their highest window only.
 
-Training reads at most `PER_CLASS` labelled documents of each class, in the order of a hash of the id, and at most `TRAIN_CHARS`
-characters in all; these two bounds are the only ones. Every whole text is scored; a task holds one text's arrays at a time, and
-very long texts go through in blocks of whole windows.
+Training reads at most `PER_CLASS` labelled documents of each class and at most `TRAIN_CHARS` characters in all, half for each
+class: whole texts in the order of a hash of the id, those over `TEXT_SHARE` of their class's half after all others, and a text
+that does not fit is passed over for the next. The first pass trains on at most `FIRST_WINDOWS` windows of each class, drawn at
+random; each later pass on every document's highest window and twice as many random clean ones. These bounds are the only ones.
+The driver holds the sample's texts and the n-grams of one pass's windows, never those of all texts. Every whole text is scored; a
+task holds one text's arrays at a time, and very long texts go through in blocks of whole windows.
 
 Defined cases: null and empty texts have no n-grams and get the score of an empty bag; a null id counts as the empty text in the
-fold; without labels of both classes all scores are 0; repeated rows are scored each; other columns are ignored.
+fold; without labels of both classes all scores are 0; with them, a class without a text that fits is an error; repeated rows are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +22,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 GRAMS = (3, 4, 5)
 BITS = 18
@@ -31,8 +33,10 @@ DIMS = 8
 WINDOW = 10
 #: A window of fewer n-grams is filled up with empty ones.
 LEAST = 70
-PER_CLASS = 2000
-TRAIN_CHARS = 12_000_000
+PER_CLASS = 3000
+TRAIN_CHARS = 40_000_000
+TEXT_SHARE = 0.05
+FIRST_WINDOWS = 30_000
 BLOCK_CHARS = 1 << 20
 #: Marks that end a word; others inside a word stay, as misspellings use them.
 PAUSES = '.,;:!?"()'
@@ -47,9 +51,16 @@ def _words(text: str) -> list[str]:
     return [a for a, b in zip(words, [None, *words], strict=False) if a != b]
 
 
-def _grams(text: str):
+def _blocks(text: str) -> list[list[str]]:
+    """The words of a text; those of a very long one in blocks of whole windows."""
+    words = _words(text)
+    step = WINDOW * 4096 if len(text) > BLOCK_CHARS else max(len(words), 1)
+    return [words[i : i + step] for i in range(0, len(words), step)]
+
+
+def _grams(words: list[str]):
     """(positions of the spaces, [(table row, whether it lies in a word) of the n-gram at each position, for each n])."""
-    chars = np.frombuffer((" " + " ".join(_words(text)) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     space = chars == 32
     inner = np.concatenate((np.zeros(1, np.int32), np.cumsum(space, dtype=np.int32)))
     h, out = chars.astype(np.uint64), []
@@ -64,11 +75,9 @@ def _grams(text: str):
     return np.flatnonzero(space), out
 
 
-def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram rows, the window number of each) of a text."""
-    spaces, grams = _grams(text)
-    if not grams or len(spaces) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram rows, the window number of each) of a block of words."""
+    spaces, grams = _grams(words)
     at = [np.searchsorted(spaces, np.flatnonzero(good), "right") - 1 for _, good in grams]
     return np.concatenate([rows[good] for rows, good in grams]), np.concatenate(at) // WINDOW
 
@@ -76,15 +85,8 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
 def window_logits(text: str, weight: np.ndarray) -> np.ndarray:
     """The mean weight of each window's n-grams; weight: by table row, embeddings and softmax multiplied out."""
     out = []
-    pieces = [text]
-    if len(text) > BLOCK_CHARS:
-        words = text.split()
-        step = WINDOW * 4096
-        pieces = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
-    for piece in pieces:
-        spaces, grams = _grams(piece)
-        if not grams or len(spaces) < 2:
-            continue
+    for words in _blocks(text):
+        spaces, grams = _grams(words)
         starts = spaces[:-1:WINDOW]
         total, n = np.zeros(len(starts)), np.zeros(len(starts))
         for rows, good in grams:
@@ -95,45 +97,69 @@ def window_logits(text: str, weight: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(1)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 64, rate: float = 1.0, min_docs: int = 8, decay: float = 5e-4, damp: float = 1e-3, seed: int = 11) -> dict:
+def _bags(texts: list[str], begins: np.ndarray, pick: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], list[int]]:
+    """(n-gram rows, document) of the windows numbered in `pick` (sorted; begins: each text's first number) and, with a weight,
+    of the window with the highest mean of each text that has words."""
+    bags, doc = [], []
+    bounds = np.searchsorted(pick, np.append(begins, np.iinfo(np.int64).max))
+    for d, text in enumerate(texts):
+        own = pick[bounds[d] : bounds[d + 1]] - begins[d]
+        if weight is None and not len(own):
+            continue
+        before, best, highest = 0, None, -np.inf
+        for words in _blocks(text):
+            rows, at = subwords(words)
+            rows = rows[np.argsort(at, kind="stable")]
+            ends = np.cumsum(np.bincount(at))
+            starts = np.concatenate(([0], ends[:-1]))
+            if weight is not None:
+                means = np.add.reduceat(weight[rows], starts) / np.maximum(ends - starts, LEAST)
+                top = int(means.argmax())
+                if means[top] > highest:
+                    highest, best = means[top], rows[starts[top] : ends[top]].copy()
+            here = own[(own >= before) & (own < before + len(ends))] - before
+            bags += [rows[starts[i] : ends[i]].copy() for i in here]
+            before += len(ends)
+        doc += [d] * len(own)
+        if best is not None:
+            bags.append(best)
+            doc.append(d)
+    return bags, doc
+
+
+def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 64, rate: float = 1.0, min_docs: int = 8, decay: float = 5e-4, damp: float = 1e-3, seed: int = 11, first_windows: int = FIRST_WINDOWS) -> dict:
     """The table, softmax, offset and calibration, from labelled texts."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     model = {"table": rng.uniform(-1 / DIMS, 1 / DIMS, (ROWS, DIMS)), "softmax": rng.normal(0, 1, DIMS), "offset": 0.0, "scale": 1.0, "shift": 0.0, "flat": len(set(labels)) < 2}
     if model["flat"]:
         return model
-    parts, doc, lengths, docs_with = [], [], [], np.zeros(ROWS, np.int32)
+    docs_with, counts = np.zeros(ROWS, np.int32), np.zeros(len(texts), np.int64)
     for d, text in enumerate(texts):
-        rows, at = subwords(text)
-        if len(rows):
-            docs_with[np.unique(rows)] += 1
-            n = np.bincount(at)
-            parts.append(rows[np.argsort(at, kind="stable")].astype(np.int32))
-            lengths.append(n[n > 0])
-            doc += [d] * len(lengths[-1])
-    flat, doc, lengths = np.concatenate(parts), np.asarray(doc), np.concatenate(lengths)
-    del parts
-    begins = np.cumsum(lengths) - lengths
-    sizes = np.maximum(lengths, LEAST)
+        seen = [np.unique(subwords(words)[0]) for words in _blocks(text)]
+        if seen:
+            docs_with[np.unique(np.concatenate(seen))] += 1
+            counts[d] = -(-len(_words(text)) // WINDOW)
+    begins, kind = np.cumsum(counts) - counts, np.repeat(y, counts)
+    pos, neg = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
     e, w = model["table"], model["softmax"]
     squares = np.full(ROWS, damp)
     common = docs_with >= min_docs
     e[~common] = 0
     for epoch in range(epochs):
-        pick, step = np.arange(len(sizes)), rate if epoch else rate / 4
+        step = rate if epoch else rate / 4
         if epoch:
-            means = np.add.reduceat((e @ w).astype(np.float32)[flat], begins) / sizes
-            top = np.lexsort((means, doc))
-            last = top[np.concatenate((np.diff(doc[top]) != 0, [True]))]
-            clean = pick[y[doc] == 0]
-            pick = np.concatenate((last, rng.choice(clean, min(len(clean), 2 * len(last)), replace=False)))
+            few = rng.choice(neg, min(len(neg), 2 * int((counts > 0).sum())), replace=False)
+            bags, doc = _bags(texts, begins, np.sort(few), e @ w)
         else:
-            pos, neg = pick[y[doc] == 1], pick[y[doc] == 0]
-            pick = np.concatenate((rng.choice(pos, min(len(pos), 30_000), replace=False), rng.choice(neg, min(len(neg), 30_000), replace=False)))
+            few = np.concatenate([rng.choice(x, min(len(x), first_windows), replace=False) for x in (pos, neg)])
+            bags, doc = _bags(texts, begins, np.sort(few))
+        doc, lengths = np.asarray(doc, np.int64), np.asarray([len(b) for b in bags], np.int64)
+        sizes, pick = np.maximum(lengths, LEAST), np.arange(len(bags))
         pick = rng.permutation(pick)
         for i in range(0, len(pick), batch):
             chosen = pick[i : i + batch]
-            rows = np.concatenate([flat[begins[b] : begins[b] + lengths[b]] for b in chosen])
+            rows = np.concatenate([bags[b] for b in chosen])
             where = np.repeat(np.arange(len(chosen)), lengths[chosen])
             n = sizes[chosen]
             unique, inv = np.unique(rows, return_inverse=True)
@@ -175,18 +201,30 @@ def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)), F.lit(parts))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, per_class: int = PER_CLASS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts, the same at every run: the lowest hashes of each class, then whole texts in hash
-    order up to `chars` characters."""
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, per_class: int = PER_CLASS, chars: int = TRAIN_CHARS, share: float = TEXT_SHARE) -> tuple[list[str], list[int]]:
+    """A bounded sample of labelled texts, the same at every run: the lowest hashes of each class, then whole texts that fit in
+    half of `chars`, in hash order; texts over `share` of that half come after all others."""
     known = labels.filter(keep & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("_y")).withColumn("_h", F.xxhash64(F.lit("sample"), "doc_id"))
-    chosen = None
+    classes = [known.filter(F.col("_y") == y).orderBy("_h", "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = F.broadcast(classes[0].unionByName(classes[1]))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(chosen, "doc_id").withColumn("_t", F.xxhash64("_text"))
+    texts = stage(texts.dropDuplicates(["doc_id", "_t"]), "sample")
+    half, taken, found = chars // 2, [], set()
     for y in (0, 1):
-        part = known.filter(F.col("_y") == y).orderBy("_h", "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
-    sized = texts.withColumn("_run", F.sum(F.length("_text")).over(W.partitionBy("_y").orderBy("_h", "doc_id", "_text"))).filter(F.col("_run") <= chars // 2)
-    rows = sorted((r["_h"], r["doc_id"], r["_text"], r["_y"]) for r in sized.select("_h", "doc_id", "_text", "_y").collect())
-    return [r[2] for r in rows], [int(r[3]) for r in rows]
+        sized = texts.filter(F.col("_y") == y).select("_h", "doc_id", "_t", F.length("_text").alias("n")).withColumn("_long", F.col("n") > share * half)
+        left = half
+        for r in sized.orderBy("_long", "_h", "doc_id", "_t").limit(per_class).collect():
+            if r["n"] <= left:
+                left -= r["n"]
+                taken.append((r["_h"], r["doc_id"], r["_t"]))
+                found.add(y)
+    if len(found) < 2 and not docs.isEmpty() and known.select("_y").distinct().count() == 2:
+        raise ValueError(f"labels of both classes, but of class {min({0, 1} - found)} no labelled text of at most {half} characters")
+    pick = set(taken)
+    keys = F.broadcast(docs.sparkSession.createDataFrame([(h, t) for h, _, t in sorted(pick, key=str)], "_h long, _t long").distinct())
+    rows = sorted((r["_h"], r["doc_id"], r["_t"], r["_text"], r["_y"]) for r in texts.join(keys, ["_h", "_t"]).select("_h", "doc_id", "_t", "_text", "_y").toLocalIterator())
+    rows = [r for r in rows if r[:3] in pick]
+    return [r[3] for r in rows], [int(r[4]) for r in rows]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None, **options) -> dict:

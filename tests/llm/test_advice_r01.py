@@ -2,7 +2,11 @@
 
 from itertools import combinations
 
-from rulemill.llm import near_dedup
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rulemill.llm import near_dedup, toxicity
 from tests.llm.test_operators import docs, words
 
 
@@ -35,3 +39,24 @@ def test_near_stage_reaches_similarity_of_four_fifths(spark):
     assert near_dedup.drop_near(docs(spark, texts).limit(0)).count() == 0
     few = docs(spark, [None, "", " ", "a b", "A  b", "a c"])
     assert {r.doc_id for r in near_dedup.drop_near(few).collect()} == {0, 3, 5}
+
+
+def test_long_text_does_not_starve_its_class(spark):
+    texts = [words(i, 30) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    ranked = [r.doc_id for r in labels.filter("toxic = 1").orderBy(F.xxhash64(F.lit("sample"), "doc_id")).collect()]
+    texts[ranked[0]] = words(99, 3000)
+    got, y = toxicity.training_sample(docs(spark, texts), labels, "toxic", F.lit(True), chars=6000)
+    assert sum(y) == 9 and len(y) == 19 and texts[ranked[0]] not in got
+    whole, y = toxicity.training_sample(docs(spark, texts), labels, "toxic", F.lit(True), chars=10**6)
+    assert sorted(whole) == sorted(texts) and sum(y) == 10
+    with pytest.raises(ValueError):
+        toxicity.training_sample(docs(spark, texts), labels, "toxic", F.lit(True), chars=8)
+
+
+def test_long_text_has_the_windows_of_the_unsplit_path(monkeypatch):
+    text = " ".join(["la.la", "x!", "y", "y"] * 15_000) + " " + words(3, 60_000, 10**5)
+    weight = np.random.default_rng(1).normal(size=toxicity.ROWS)
+    split = toxicity.window_logits(text, weight)
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 1 << 40)
+    assert np.allclose(split, toxicity.window_logits(text, weight), rtol=0, atol=1e-9)
