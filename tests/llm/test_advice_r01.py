@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rulemill.llm import near_dedup, toxicity
+from rulemill.llm import exact_dedup, near_dedup, toxicity
 from tests.llm.test_operators import docs, words
 
 
@@ -60,3 +60,14 @@ def test_long_text_has_the_windows_of_the_unsplit_path(monkeypatch):
     split = toxicity.window_logits(text, weight)
     monkeypatch.setattr(toxicity, "BLOCK_CHARS", 1 << 40)
     assert np.allclose(split, toxicity.window_logits(text, weight), rtol=0, atol=1e-9)
+
+
+def test_dedup_stages_drop_rows_and_not_ids(spark):
+    a, b, c = words(1, 60, 10**6), words(2, 60, 10**6), words(3, 60, 10**6)
+    given = [(1, a), (1, b), (2, a), (4, c), (4, c), (None, c), (None, "n"), (None, "n")]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    for keep, first in (("largest", 2), ("smallest", 1)):
+        want = [(first, a), (1, b), (4, c), (None, "n")]
+        assert sorted(map(tuple, exact_dedup.drop_exact(df, keep=keep).collect()), key=str) == sorted(want, key=str)
+    want = [(1, a), (1, b), (4, c), (None, "n")]
+    assert sorted(map(tuple, near_dedup.drop_near(df).collect()), key=str) == sorted(want, key=str)
