@@ -3,7 +3,9 @@
 Each source's documents lie in a shuffled order (by a hash of the id) on a word axis that repeats up to three times; the axis
 is cut into blocks of equal size. Slot k of the schedule is the golden-ratio point frac((k + 1/2) / phi); the cumulative target
 shares map it to a source, its rank among that source's slots is the block that it takes, and schedule and blocks are joined by
-(source, block). Prefix sums and ranks are made in two steps (inside a bucket, then over buckets), so that a hot source is
+(source, block). The schedule gives the order only: each source is taken up to its target, rounded up to a whole word, so its last
+block may be partial, and a block without a point (rare sources at a coarse block size) gets its even place among the slots, which
+another block may have too. Prefix sums and ranks are made in two steps (inside a bucket, then over buckets), so that a hot source is
 spread over many tasks.
 
 Defined cases: null text has size 0; a null source is a source, the last; documents of size 0 are taken 0 times; repeated rows
@@ -84,12 +86,14 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     placed = inside.join(offsets, ["_key", "_b"]).select("_key", "_row", "_id", "size", (F.col("_off") + F.col("_in")).alias("_start"))
     placed = lookup(placed, targets.select("_key", "source_size", "target", "_total"), ["_key"])
     unit = F.greatest(F.lit(1), F.ceil(F.col("_total") / slots)).cast("long")
-    placed = placed.withColumn("_unit", unit).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: e.cast("long") * F.col("source_size") + F.col("_start"))))
-    placed = placed.filter(F.col("_p") < F.col("target") + 64 * F.col("_unit"))
-    pieces = placed.select("_key", "_row", "_id", "_p", "size", "_unit", F.explode(F.sequence(F.floor(F.col("_p") / F.col("_unit")), F.floor((F.col("_p") + F.col("size") - 1) / F.col("_unit")))).alias("block"))
-    words = F.least(F.col("_p") + F.col("size"), (F.col("block") + 1) * F.col("_unit")) - F.greatest(F.col("_p"), F.col("block") * F.col("_unit"))
+    placed = placed.withColumn("_unit", unit).withColumn("_end", F.ceil(F.col("target") - 1e-6)).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: e.cast("long") * F.col("source_size") + F.col("_start"))))
+    placed = placed.filter(F.col("_p") < F.col("_end")).withColumn("_stop", F.least(F.col("_p") + F.col("size"), "_end"))
+    pieces = placed.select("_key", "_row", "_id", "_p", "_stop", "_end", "_unit", "_total", F.explode(F.sequence(F.floor(F.col("_p") / F.col("_unit")), F.floor((F.col("_stop") - 1) / F.col("_unit")))).alias("block"))
+    words = F.least("_stop", (F.col("block") + 1) * F.col("_unit")) - F.greatest(F.col("_p"), F.col("block") * F.col("_unit"))
+    even = F.floor((F.col("block") + 0.5) / F.ceil(F.col("_end") / F.col("_unit")) * F.ceil(F.col("_total") / F.col("_unit")))
     plan = schedule(targets.withColumn("_src", F.col("_key")), slots).withColumnRenamed("_src", "_key")
-    return rows, targets, pieces.withColumn("words", words).join(plan, ["_key", "block"]).select("_key", "_row", "_id", "slot", "block", "words")
+    pieces = pieces.withColumn("words", words).withColumn("_even", even).join(plan, ["_key", "block"], "left")
+    return rows, targets, pieces.select("_key", "_row", "_id", F.coalesce("slot", "_even").alias("slot"), "block", "words")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
