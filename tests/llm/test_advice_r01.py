@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rulemill.llm import exact_dedup, near_dedup, toxicity
+from rulemill.llm import decontamination, exact_dedup, mixing, near_dedup, toxicity
 from tests.llm.test_operators import docs, words
 
 
@@ -71,3 +71,24 @@ def test_dedup_stages_drop_rows_and_not_ids(spark):
         assert sorted(map(tuple, exact_dedup.drop_exact(df, keep=keep).collect()), key=str) == sorted(want, key=str)
     want = [(1, a), (1, b), (4, c), (None, "n")]
     assert sorted(map(tuple, near_dedup.drop_near(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_benchmark_items_without_id_are_searched(spark):
+    text = words(1, 100, 10**6)
+    passage = " ".join(text.split()[20:40])
+    bench = spark.createDataFrame([(None, passage), ("a", " ".join(text.split()[35:50]))], "item_id string, text string")
+    df = docs(spark, [text, passage, words(2, 50, 10**6)])
+    got = {r.doc_id: ([(s.start, s.end) for s in r.spans], r["items"]) for r in decontamination.find_contamination(df, bench).collect()}
+    assert got == {0: ([(20, 50)], ["a"]), 1: ([(0, 20)], []), 2: ([], [])}
+    assert [r.doc_id for r in decontamination.drop_contaminated(df, bench).collect()] == [2]
+
+
+def test_rare_sources_stay_in_a_coarse_mix(spark):
+    """Blocks of about 600 words; the rare sources have targets of less than one."""
+    given = [(i, words(i, 300), "big") for i in range(100)] + [(100 + i, words(i, 20 + i), f"rare{i}") for i in range(6)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df, slots=50).collect()}
+    assert all(got[100 + i].taken == got[100 + i].target == 3 * (20 + i) for i in range(6))
+    assert abs(sum(got[i].taken for i in range(100)) - got[0].target) <= 1
+    _, _, pieces = mixing.mixture(df, slots=50)
+    assert all(0 <= r.slot < 51 for r in pieces.collect())
