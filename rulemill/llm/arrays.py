@@ -7,6 +7,8 @@ import numpy as np
 U = np.uint64
 #: Odd multipliers of the polynomial hashes, and their inverses modulo 2^64.
 BYTE_MUL, WORD_MUL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Those of a second hash, where two together tell strings apart.
+BYTE_MUL2, WORD_MUL2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -21,16 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests);
+    on a cluster an error, as executors could not read it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rulemill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def staging(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the application ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/staged-{context.applicationId}"
+    if path not in _staging:
+        _staging.add(path)
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+    return path
+
+
+_staging: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{staging(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -40,9 +59,22 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` as a staged table with a row number (_row) that stays the same at every reading."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `docs` is called so (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """`docs` as a staged table with a row number that stays the same at every reading."""
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """`rows` without those whose number stands in `gone` (a staged table with the one column _row), and without the number."""
+    return lookup(rows, gone.withColumnRenamed("_row", row), [row], "left_anti").drop(row)
 
 
 def ascii_lower(text: Column) -> Column:

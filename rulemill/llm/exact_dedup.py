@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach_groups, lookup, numbered, row_salt, stage, table
+from .common import ascii_lower, attach_groups, free_name, lookup, numbered, row_salt, stage, table, without
 
 
 def normalised(text: Column) -> Column:
@@ -50,12 +50,13 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs`, one for each distinct text; all columns stay as they are. Rows are told apart by a staged row number:
     of equal texts the row with the largest (or smallest) id stays, one with a null id only if all ids are null, and of rows with
     that id the one with the lowest number."""
-    rows = numbered(docs)
-    null, row = F.col(id_col).isNull(), F.col("_row")
+    name = free_name(docs, "_row")
+    rows = numbered(docs, name)
+    null, row = F.col(id_col).isNull(), F.col(name)
     pick = F.struct((~null).alias("some"), F.col(id_col).alias("id"), (-row).alias("row")) if keep == "largest" else F.struct(null.alias("none"), F.col(id_col).alias("id"), row.alias("row"))
     named = rows.select(pick.alias("_pick"), F.col(text_col).alias("_body"))
     gone = stage(exact_groups(named, "_pick", "_body", keep).filter("not kept").select(F.abs("_pick.row").alias("_row")), "gone")
-    return lookup(rows, gone, ["_row"], "left_anti").drop("_row")
+    return without(rows, name, gone)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,30 +75,44 @@ def repeated_filter(rows: DataFrame) -> Seen:
     return Seen(bits, table)
 
 
-#: (h, key, place) rows of places to be counted: place packs start << 32 | number of starts << 1 | repeated already.
-PLACES = "h long, key long, place long"
-
-
-def places(h: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """The places of a batch. A hash that occurs once in the batch is a row that waits for others; one that occurs more often is
-    one row that announces it and, for its places, runs of starts that are repeated already."""
-    unique, inverse, n = np.unique(h.view(np.int64), return_inverse=True, return_counts=True)
-    many = n[inverse] > 1
-    single = ~many
-    loud = unique[n > 1]
-    out = [(h.view(np.int64)[single], key[single], start[single] << 32 | 2), (loud, np.zeros(len(loud), np.int64), np.ones(len(loud), np.int64))]
-    if many.any():
-        order = np.lexsort((start[many], key[many]))
-        k, s = key[many][order], start[many][order]
-        cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(s) > 1)) + 1
-        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)])) - 1
-        out.append((k[first] ^ (s[first] * 0x9E3779B97F4A7C1 + 1), k[first], s[first] << 32 | (s[last] - s[first] + 1) << 1 | 1))
-    return pa.RecordBatch.from_pydict(dict(zip(("h", "key", "place"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+#: Rows of places to be counted. (h, g) are two 64-bit hashes of the string; place packs start << 32 | number of starts << 1 |
+#: repeated already.
+PLACES = "h long, g long, key long, place long"
+#: How many hashes a task remembers to have announced.
+ANNOUNCED = 1 << 20
+
+
+class Places:
+    """The places of one task's strings, combined before the shuffle. A string that the task sees once is a row that waits for others.
+    One that it sees again is announced by one row (key 0), once a task, and its places are ready: runs of starts that are
+    repeated already. So a string that occurs everywhere is a few rows of each task and never a hot group."""
+
+    def __init__(self):
+        self.known = np.zeros(0, np.int64)
+
+    def rows(self, h: np.ndarray, g: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        h, g = h.view(np.int64), g.view(np.int64)
+        name = h ^ (g * 0x2545F4914F6CDD1D)
+        unique, first, inverse, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        told = np.isin(unique, self.known)
+        loud = (n > 1) & ~told
+        many = ((n > 1) | told)[inverse]
+        single, one = ~many, first[loud]
+        self.known = np.concatenate((self.known, unique[loud]))[-ANNOUNCED:]
+        zero = np.zeros(len(one), np.int64)
+        out = [(h[single], g[single], key[single], start[single] << 32 | 2), (h[one], g[one], zero, zero + 1)]
+        if many.any():
+            order = np.lexsort((start[many], key[many]))
+            k, s = key[many][order], start[many][order]
+            cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(s) > 1)) + 1
+            a, b = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)])) - 1
+            out.append((k[a] ^ (s[a] * 0x9E3779B97F4A7C1 + 1), k[a], k[a], s[a] << 32 | (s[b] - s[a] + 1) << 1 | 1))
+        return pa.RecordBatch.from_pydict(dict(zip(("h", "g", "key", "place"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
 
 def repeated_places(rows: DataFrame) -> DataFrame:
-    """(key, place): the places whose hash has another place."""
-    times = F.sum(F.col("place").bitwiseAND(F.lit(1)) + 1).over(W.partitionBy("h"))
+    """(key, place): the places whose string has another place. Rows were combined by task, so a window holds a few of each."""
+    times = F.sum(F.col("place").bitwiseAND(F.lit(1)) + 1).over(W.partitionBy("h", "g"))
     return rows.withColumn("_times", times).filter("_times > 1 and shiftright(place, 1) > 0").select("key", "place")
 
 
@@ -134,4 +148,4 @@ def removed_flags(own, n: int) -> np.ndarray:
     return flags
 
 
-__all__ = ["GROUP_BYTES", "PLACES", "Seen", "counted", "groups_of", "marks", "places", "removed_flags", "repeated_filter", "repeated_places", "row_key", "runs", "with_marks"]
+__all__ = ["GROUP_BYTES", "PLACES", "Places", "Seen", "counted", "groups_of", "marks", "removed_flags", "repeated_filter", "repeated_places", "row_key", "runs", "with_marks"]

@@ -9,7 +9,7 @@ Each level is one pass over the texts, one count by hash, and a filter of bounde
 A word covered by a repeated window is removed. Windows are judged on the input and never cross documents.
 
 Defined cases: null and empty texts have no words; texts under the window are kept whole; equal rows are repeats of each other;
-an empty table gives an empty result; other columns are ignored. Hashes of windows have 64 bits.
+an empty table gives an empty result; other columns are ignored. Windows are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import as_bytes, lowest_in_windows, window_hashes, word_hashes, word_ranges
+from .arrays import WORD_MUL2, as_bytes, lowest_in_windows, window_hashes, word_hashes, word_ranges
 from .common import table
-from .repeats import GROUP_BYTES, PLACES, counted, groups_of, marks, places, removed_flags, repeated_filter, repeated_places, row_key, with_marks
+from .repeats import GROUP_BYTES, PLACES, Places, counted, groups_of, marks, removed_flags, repeated_filter, repeated_places, row_key, with_marks
 
 WINDOW = 35
+#: How many windows of the last level a task gathers before it combines and ships them.
+HELD = 1 << 19
 
 
 def level_sizes(size: int) -> tuple[int, int, int]:
@@ -64,7 +66,7 @@ def candidates(texts: list[bytes], size: int, filters: list, blocks: int = 1 <<
 
 def _candidates(texts: list[bytes], size: int, filters: list, blocks: int):
     """At level len(filters): (hashes of this level, text number, place of the window) for the windows that are left; below the
-    last level, of each gram once."""
+    last level, of each gram once, at the last one two hashes of each window."""
     words, owner, place = hashed_words(texts)
     quarter, half, _ = level_sizes(size)
     for at in range(0, max(len(words) - size + 1, 0), blocks):
@@ -91,7 +93,7 @@ def _candidates(texts: list[bytes], size: int, filters: list, blocks: int):
             yield h[one], owner[at + wide[one]], place[at + wide[one]]
             continue
         start = start[filters[1].value.has(h)]
-        yield window_hashes(w, size)[start], owner[at + start], place[at + start]
+        yield np.stack((window_hashes(w, size)[start], window_hashes(w, size, WORD_MUL2)[start])), owner[at + start], place[at + start]
 
 
 def repeated_words(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -109,12 +111,18 @@ def repeated_words(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         filters.append(docs.sparkSession.sparkContext.broadcast(seen))
 
     def last(batches):
+        own = Places()
         for batch in batches:
             keys = np.asarray(batch.column(0).to_pylist(), np.int64)
-            parts = list(candidates(as_bytes(batch.column(1)), size, filters))
+            parts, held = [], 0
+            for h, owner, place in candidates(as_bytes(batch.column(1)), size, filters):
+                parts.append((h[0], h[1], keys[owner], place.astype(np.int64)))
+                held += len(place)
+                if held >= HELD:
+                    yield own.rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts, held = [], 0
             if parts:
-                h, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield places(h, keys[owner], place.astype(np.int64))
+                yield own.rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return marks(repeated_places(docs.select("key", "text").mapInArrow(last, PLACES)), size)
 

@@ -11,8 +11,8 @@ breadth first: the queue holds the intervals of all strings of one length, each
 value yet gets the current length, and the search stops at the minimum length. Borders without a value have common prefixes of
 at least that length: their suffixes are the repeated strings.
 
-Extensions that occur more than `HOT` times are not sent to one block: their strings are counted by hash, each start a row, which
-spreads any group. Strings are judged on the input and never cross documents.
+Extensions that occur more than `HOT` times are not sent to one block: their strings are counted by 128 bits of hash, each start a
+row, combined by task, which spreads any group. Strings are judged on the input and never cross documents.
 
 Defined cases: null and empty texts have no bytes; texts under the minimum are kept whole; equal rows are repeats of each other;
 an empty table gives an empty result; other columns are ignored.
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_MUL, as_bytes, inverse, mixed, powers, runs
+from .arrays import BYTE_MUL, BYTE_MUL2, as_bytes, inverse, mixed, powers, runs
 from .common import stage, table
-from .repeats import groups_of, marks, places, removed_flags, repeated_places, row_key, with_marks
+from .repeats import Places, groups_of, marks, removed_flags, repeated_places, row_key, with_marks
 from .repeats import repeated_filter as seen_filter
 
 SIZE = 400
@@ -36,17 +36,17 @@ PARTS = 4
 MARK, DIGITS = 257, 3  # what stands for an extension in a block: a symbol of its own and its number's bytes
 PICK = 15  # of 4 bytes' hash: one place in 16
 BLOCK_BYTES = 1 << 20
-HOT = 20_000
+HOT = 2_000
 
 
 class Hashes:
     """Hashes of any byte ranges of one buffer."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int = BYTE_MUL):
         n = len(values)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(BYTE_MUL, n))))
-        self.back = powers(inverse(BYTE_MUL), n + 1)
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, n))))
+        self.back = powers(inverse(base), n + 1)
 
     def of(self, starts: np.ndarray, length: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -228,7 +228,7 @@ def block_answers(spans: list[tuple[int, bytes]], width: int) -> list[np.ndarray
     return [found[s : e - size] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-SPANS = "h long, span binary, key long, place long"
+SPANS = "h long, g long, span binary, key long, place long"
 
 
 def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -250,6 +250,7 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
     filters.append(context.broadcast(seen_filter(counts.filter(F.col("n") > hot))))
 
     def ship(batches):
+        own = Places()
         for batch in batches:
             texts, keys = as_bytes(batch.column(1)), np.asarray(batch.column(0).to_pylist(), np.int64)
             spans: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
@@ -262,7 +263,8 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
                 if many.any():
                     n = (high - low + 1)[many]
                     starts = np.repeat(low[many] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-                    hot_rows.append((hashes.of(starts, size), keys[np.repeat(text[many], n)], starts - np.repeat(base[many], n)))
+                    second = Hashes(np.frombuffer(data, np.uint8), BYTE_MUL2).of(starts, size)
+                    hot_rows.append((hashes.of(starts, size), second, keys[np.repeat(text[many], n)], starts - np.repeat(base[many], n)))
             out = {"h": [], "span": [], "key": [], "place": []}
 
             def add(h, span, key, place):
@@ -276,15 +278,16 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
                 add(x, span, 0, 1)
                 for key, start, n in where:
                     add(key ^ start, None, key, start << 32 | n << 1 | 1)
-            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["span"], pa.binary()), pa.array(out["key"], pa.int64()), pa.array(out["place"], pa.int64())], names=list(out))
+            names = ["h", "g", "span", "key", "place"]
+            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array([0] * len(out["h"]), pa.int64()), pa.array(out["span"], pa.binary()), pa.array(out["key"], pa.int64()), pa.array(out["place"], pa.int64())], names=names)
             if hot_rows:
-                rows = places(*(np.concatenate(x) for x in zip(*hot_rows, strict=True)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([b""] * rows.num_rows, pa.binary()), rows.column(1), rows.column(2)], names=list(out))
+                rows = own.rows(*(np.concatenate(x) for x in zip(*hot_rows, strict=True)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([b""] * rows.num_rows, pa.binary()), rows.column(2), rows.column(3)], names=names)
 
     rows = stage(docs.select("key", "text").mapInArrow(ship, SPANS), "spans")
-    counted = repeated_places(rows.filter("length(span) = 0").select("h", "key", "place"))
+    counted = repeated_places(rows.filter("length(span) = 0").select("h", "g", "key", "place"))
     ready = rows.filter("span is null").select("key", "place")
-    dealt = rows.filter("length(span) > 0").repartition("h").sortWithinPartitions("h", "span")
+    dealt = rows.filter("length(span) > 0").select("h", "span", "key", "place").repartition("h").sortWithinPartitions("h", "span")
     found = dealt.mapInArrow(lambda batches: _answered(batches, width), "key long, place long")
     return marks(found.unionByName(ready).unionByName(counted), size)
 
