@@ -1,8 +1,9 @@
 """Chat formatting (native): schema fingerprints choose declarative mappings that turn any known layout into canonical turns.
 
-A layout's fingerprint is the hash of its sorted nested field paths, restricted to the fields that mappings know, so that other
-columns don't change it. Typed tables are fingerprinted from their schema (`canonical_turns`), JSON lines row by row
-(`canonical_json_turns`). Canonical turns are rows (conv_id, turn, role, text). `format_turns` renders one string for each
+A mapping's fingerprint is the hash of its sorted nested field paths. A layout is hashed once for each mapping, over those of its
+own field paths that the mapping names: it fits the mappings whose fingerprint it gives, so columns that a mapping doesn't name never
+change anything. Of several that fit, the one with the most paths is taken, then the first in the order of MAPPINGS. Typed tables are
+fingerprinted from their schema (`canonical_turns`), JSON lines row by row, over all elements of their arrays (`canonical_json_turns`). Canonical turns are rows (conv_id, turn, role, text). `format_turns` renders one string for each
 conversation with a turn's start, separator and end marked, and the loss mask as code-point spans over the assistant texts.
 
 Control strings inside roles and texts are escaped: after the first character (< or [) of a control string, which may be
@@ -45,14 +46,18 @@ MAPPINGS: dict[str, dict] = {
 }
 #: Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-KNOWN = tuple(sorted({p for m in MAPPINGS.values() for p in m["paths"]}))
+def fingerprint(paths) -> str:
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
-def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()[:16]
+#: (mapping, its paths in order, its fingerprint), the most paths first.
+BY_SIZE = tuple((name, tuple(sorted(set(m["paths"]))), fingerprint(m["paths"])) for name, m in sorted(MAPPINGS.items(), key=lambda x: -len(set(x[1]["paths"]))))
 
 
-BY_FINGERPRINT = {fingerprint(m["paths"]): name for name, m in MAPPINGS.items()}
+def mapping_of(paths) -> str | None:
+    """The mapping of a layout with these field paths, None if none fits."""
+    have = set(paths)
+    return next((name for name, own, print_ in BY_SIZE if fingerprint(have & set(own)) == print_), None)
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -91,22 +96,31 @@ def _from_mapping(df: DataFrame, name: str, conv: Column) -> DataFrame:
 
 def canonical_turns(df: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Canonical turns of a typed table; its schema's fingerprint chooses the mapping."""
-    print_ = fingerprint(field_paths(df.schema))
-    if print_ not in BY_FINGERPRINT:
-        raise ValueError(f"no mapping for the layout with fingerprint {print_}: {field_paths(df.schema)}")
-    return _from_mapping(df, BY_FINGERPRINT[print_], F.col(conv_col))
+    paths = field_paths(df.schema)
+    name = mapping_of(paths)
+    if name is None:
+        raise ValueError(f"no mapping fits the layout {paths}")
+    return _from_mapping(df, name, F.col(conv_col))
 
 
 def canonical_json_turns(df: DataFrame, json_col: str = "record", conv_col: str = "conv_id") -> DataFrame:
     """Canonical turns of JSON lines; each row's fingerprint chooses its mapping. Adds `mapping`, null for unknown layouts
     and for text that is no JSON object (such rows have no turns)."""
     v = F.try_parse_json(F.col(json_col))
-    where = lambda p: "$." + p.replace("[]", "[0]")
     rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), v.alias("_v"))
-    present = F.array(*[F.when(F.try_variant_get("_v", where(p), "variant").isNotNull(), F.lit(p)) for p in KNOWN])
-    rows = rows.withColumn("_f", F.substring(F.sha2(F.array_join(present, "\n"), 256), 1, 16))
-    names = F.create_map(*[x for f, n in BY_FINGERPRINT.items() for x in (F.lit(f), F.lit(n))])
-    rows = rows.withColumn("mapping", F.try_element_at(names, F.col("_f")))
+
+    def found(path: str) -> Column:
+        array, _, field = path.partition("[].")
+        if not field:
+            return F.try_variant_get("_v", f"$.{path}", "variant").isNotNull()
+        return F.exists(F.try_variant_get("_v", f"$.{array}", "array<variant>"), lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull())
+
+    mapping = F.lit(None).cast("string")
+    for name, paths, print_ in reversed(BY_SIZE):
+        present = F.array_compact(F.array(*[F.when(found(p), F.lit(p)) for p in paths]))
+        own = F.substring(F.sha2(F.array_join(present, "\n").cast("binary"), 256), 1, 16)
+        mapping = F.when(own == print_, F.lit(name)).otherwise(mapping)
+    rows = rows.withColumn("mapping", mapping)
     message = "array<struct<role:string,text:string>>"
     turns = F.lit(None).cast(message)
     for name, m in MAPPINGS.items():

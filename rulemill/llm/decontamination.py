@@ -6,26 +6,27 @@ may match. The index is a suffix array by prefix doubling, its Burrows-Wheeler t
 positions sampled every `SAMPLE` places. All phrases are searched backward at once, by ranks; occurrences are located by
 stepping back to a sampled position; overlapping spans are merged for each document.
 
-The benchmark is the stated query set: it is read in blocks of at most `BLOCK_WORDS` words, each broadcast by itself.
+The benchmark is the stated query set: it is read in blocks of at most `BLOCK_WORDS` words (a longer item is a block of its own);
+each block is one pass over the documents, and a worker holds one block.
 
 Defined cases: null and empty texts have no words and are clean; items without words are no phrase; items under the window are
 one phrase; repeated items count each by their id; items with a null id are searched like
-any other, so their hits count in the spans, n_hit and contaminated, but they have no name in items, n_items and items_sha256 (OP9_SQL
-leaves such items out, and so agrees only on benchmarks without them); repeated documents are answered each; an empty benchmark leaves all clean;
+any other, so their hits count in the spans, n_hit and contaminated, but they have no name in items, n_items and items_sha256; repeated documents are answered each; an empty benchmark leaves all clean;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import as_bytes, covered, runs
-from .common import table
+from .common import numbered, stage, table
 
 WINDOW = 10
 SAMPLE = 16
@@ -195,8 +196,9 @@ def search_shard(parts: list[tuple[np.ndarray, np.ndarray]], block: Block) -> tu
     return spans, items
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, most: int = BLOCK_WORDS):
+def benchmark_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, most: int | None = None):
     """Blocks of items, read one partition at a time; the driver holds one block."""
+    most = most or BLOCK_WORDS
     items, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = words_of((row["t"] or "").encode())
@@ -209,65 +211,92 @@ def benchmark_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: s
         yield Block(items, window)
 
 
-def _shard_rows(totals: list[int], parts: list[list], shared: list):
-    """(words, span starts, span ends, items) of each document of a shard; parts holds each block's symbols."""
-    found = [search_shard(part, b.value) for part, b in zip(parts, shared, strict=True)]
-    for d, total in enumerate(totals):
-        spans = [s for part, _ in found for s in part[d]]
-        items = {i for _, part in found for i in part[d]}
-        if spans:
-            a = np.asarray(spans)
-            starts, ends = runs(covered(total, a[:, 0], a[:, 1] - a[:, 0]))
-        else:
-            starts = ends = np.zeros(0, np.int64)
-        yield total, starts, ends, sorted(items)
+def _searched(batches, column: int, block: Block):
+    """(batch, (words, span starts, span ends, items) of each row). Of a document's words only those that a phrase may match outlive its
+    turn; a shard is searched when it is full."""
 
+    def shard(totals, parts):
+        for total, spans, items in zip(totals, *search_shard(parts, block), strict=True):
+            if spans:
+                a = np.asarray(spans)
+                starts, ends = runs(covered(total, a[:, 0], a[:, 1] - a[:, 0]))
+            else:
+                starts = ends = np.zeros(0, np.int64)
+            yield total, starts.tolist(), ends.tolist(), sorted(items)
 
-def _searched(batches, column: int, shared: list):
-    """Of a document's words only those that a phrase may match outlive its turn; a shard is searched when it is full."""
     for batch in batches:
-        out, totals, parts, size = [], [], [[] for _ in shared], 0
+        out, totals, parts, size = [], [], [], 0
         for text in as_bytes(batch.column(column)):
             words = words_of(text)
             totals.append(len(words))
-            for part, b in zip(parts, shared, strict=True):
-                part.append(b.value.symbols(words))
-                size += len(part[-1][0])
+            parts.append(block.symbols(words))
+            size += len(parts[-1][0])
             if size >= SHARD:
-                out += _shard_rows(totals, parts, shared)
-                totals, parts, size = [], [[] for _ in shared], 0
-        out += _shard_rows(totals, parts, shared)
+                out += shard(totals, parts)
+                totals, parts, size = [], [], 0
+        out += shard(totals, parts)
         yield batch, out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, spans, items) of every row: spans are merged removal spans [start, end) of word places."""
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(b) for b in benchmark_blocks(benchmark, window, item_col, item_text_col)]
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def _block_rows(docs: DataFrame, block: Block, id_col: str, text_col: str) -> DataFrame:
+    """(_id, n_words, spans, items) of every row, by one block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def search(batches):
-        for batch, rows in _searched(batches, 1, shared):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in zip(r[1].tolist(), r[2].tolist(), strict=True)] for r in rows], span), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
-                names=["_id", "n_words", "spans", "items"],
-            )
+        for batch, rows in _searched(batches, 1, shared.value):
+            spans = [[{"start": s, "end": e} for s, e in zip(r[1], r[2], strict=True)] for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, SPANS), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["_id", "n_words", "spans", "items"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(search, f"_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(search, f"_id {kind}, {FOUND}")
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans with those that overlap or touch made one."""
+    kind = "array<struct<start:long,end:long>>"
+
+    def add(done, s):
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last.isNotNull() & (s["start"] <= last["end"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, n_words, spans, items) of every row: spans are merged removal spans [start, end) of word places. A benchmark of one block
+    is one pass; of more, each pass holds one block, its rows with hits are staged, and spans are merged by row at the end."""
+    blocks = benchmark_blocks(benchmark, window, item_col, item_text_col)
+    first, second = next(blocks, Block([], window)), next(blocks, None)
+    if second is None:
+        return _block_rows(docs, first, id_col, text_col).withColumnRenamed("_id", id_col)
+    rows = numbered(docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")))
+    base = stage(_block_rows(rows, first, "_row", "_text"), "block")
+    hits = [base.filter("size(spans) > 0").drop("n_words")]
+    for block in chain([second], blocks):
+        hits.append(stage(_block_rows(rows, block, "_row", "_text").filter("size(spans) > 0").drop("n_words"), "block"))
+    merged = reduce(DataFrame.unionByName, hits).groupBy("_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    merged = merged.select("_id", _joined(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    out = rows.select("_row", "_own").join(base.select(F.col("_id").alias("_row"), "n_words"), "_row").join(merged.withColumnRenamed("_id", "_row"), "_row", "left")
+    return out.select(F.col("_own").alias(id_col), "n_words", *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("spans", "array<struct<start:long,end:long>>"), ("items", "array<string>"))))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without a hit; all columns stay as they are."""
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(b) for b in benchmark_blocks(benchmark, window, "item_id", "text")]
-    at = docs.columns.index("text")
+    """The rows of `docs` without a hit; all columns stay as they are. Each block of the benchmark is one pass over what is left."""
+    at, left = docs.columns.index("text"), docs
+    for i, block in enumerate(benchmark_blocks(benchmark, window, "item_id", "text")):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    def clean(batches):
-        for batch, rows in _searched(batches, at, shared):
-            yield batch.filter(pa.array([not len(r[1]) for r in rows], pa.bool_()))
+        def clean(batches, shared=shared):
+            for batch, rows in _searched(batches, at, shared.value):
+                yield batch.filter(pa.array([not r[1] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+        left = (stage(left, "left") if i else left).mapInArrow(clean, docs.schema)
+    return left
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,14 +316,14 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP9_SQL = f"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
-b as (select cast(item_id as varchar) as item, {_WORDS} as ws from benchmark where item_id is not null),
+b as (select cast(item_id as varchar) as item, {_WORDS} as ws from benchmark),
 bw as (select item, least({WINDOW}, len(ws)) as size, ws, unnest(range(1, len(ws) - least({WINDOW}, len(ws)) + 2)) as i from b where len(ws) > 0),
 phrases as (select distinct item, size, array_to_string(ws[i:i + size - 1], ' ') as phrase from bw),
 sizes as (select distinct size from phrases),
 placed as (select r, size, ws, unnest(range(1, len(ws) - size + 2)) as i from d, sizes where len(ws) >= size),
 hits as (select a.r, a.i, a.size, p.item from placed a join phrases p on p.size = a.size and p.phrase = array_to_string(a.ws[a.i:a.i + a.size - 1], ' ')),
 places as (select r, count(distinct place) as n_hit from (select r, unnest(range(i, i + size)) as place from (select distinct r, i, size from hits)) group by r),
-named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct r, item from hits) group by r)
+named as (select r, count(item) as n_items, string_agg(item, ',' order by item) as names from (select distinct r, item from hits) group by r)
 select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join places using (r) left join named using (r)
 """

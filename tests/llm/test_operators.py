@@ -117,7 +117,7 @@ def test_warc(spark, tmp_path):
     body = bytes(range(256)) * 5000
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     record = pack.compress(warc._record(7, "u", body, body, hashlib.sha1(body).digest(), None)) + pack.flush()
-    assert [x[:3] for x in warc.records_of(io.BytesIO(record * 3))] == [(7, "response", len(body))] * 3
+    assert [(x["page_id"], x["record_type"], x["payload_bytes"], x["digest_ok"]) for x in warc.records_of(io.BytesIO(record * 3))] == [(7, "response", len(body), True)] * 3
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(record[:-40])))
 
