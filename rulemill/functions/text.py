@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clean(x: Column) -> Column:
-    """Trimmed, white space collapsed to one space."""
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    """Trimmed, white space (that of Unicode too) collapsed to one space."""
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def exact_section_key(x: Column) -> Column:
@@ -64,17 +64,36 @@ def token_estimate(x: Column) -> Column:
 
 
 def distinct_path(path: Column) -> Column:
-    """Blank parts and parts equal to the one before are left out."""
-    kept = F.filter(F.transform(path, lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != ""))
+    """Cleaned parts; blank ones and those equal to the one before are left out."""
+    kept = F.filter(F.transform(path, clean), lambda p: p.isNotNull() & (p != ""))
     return F.aggregate(kept, F.array().cast("array<string>"), lambda a, p: F.when(F.try_element_at(a, F.lit(-1)).eqNullSafe(p), a).otherwise(F.concat(a, F.array(p))))
 
 
+def slug(x: Column) -> Column:
+    x = F.regexp_replace(F.regexp_replace(F.lower(clean(x)), "['’]", ""), "[^a-z0-9]+", "-")
+    return F.regexp_replace(x, "^-+|-+$", "")
+
+
+#: Words that stay in lower case in a chapter's title.
+SMALL_WORDS = ("of", "and", "the", "to", "in")
+
+
+def title_case(x: Column) -> Column:
+    """Words and parts after a hyphen begin with a capital; small words have none."""
+    capital = lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))
+    word = lambda w: F.when(w.isin(*SMALL_WORDS), w).otherwise(F.array_join(F.transform(F.split(w, "-"), capital), "-"))
+    return F.array_join(F.transform(F.split(F.lower(clean(x)), " "), word), " ")
+
+
 def discovery_key(x: Column) -> Column:
-    return F.left(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(64))
+    return F.left(F.regexp_replace(F.regexp_replace(F.lower(clean(x)), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(64))
 
 
 #: Words that say nothing about a heading.
-DISCOVERY_STOP = ("and", "for", "from", "the", "that", "this", "with")
+DISCOVERY_STOP = (
+    "a", "an", "and", "are", "at", "be", "being", "by", "chamber", "for", "from", "house", "in", "into", "is",
+    "of", "on", "or", "that", "the", "this", "to", "was", "were", "with",
+)
 
 
 def discovery_tokens(x: Column) -> Column:
@@ -83,45 +102,75 @@ def discovery_tokens(x: Column) -> Column:
 
 
 def heading_affinity(a: Column, b: Column) -> Column:
-    """Equal, or one-token sides that share it, or two shared tokens."""
+    """Equal; or the one token of each side is the same; or two tokens are shared."""
     s, t = discovery_tokens(a), discovery_tokens(b)
     shared = F.size(F.array_intersect(s, t))
-    return (F.lower(clean(a)) == F.lower(clean(b))) | ((F.least(F.size(s), F.size(t)) == 1) & (shared >= 1)) | (shared >= 2)
+    need = F.when((F.size(s) == 1) & (F.size(t) == 1), 1).otherwise(2)
+    return (F.lower(clean(a)) == F.lower(clean(b))) | (shared >= need)
 
 
-# Line classes.
-NOISE = r"^[0-9]*$|^SOs? [0-9].*$|^CHAPTER [0-9]+$"
-RULING, ORDER = r"^[0-9]+/[0-9]+\b", r"^[0-9]+[A-Z]?\s+\S"
-CITATION = r"^\([0-9]+\) [0-9]{4}, Vol\. |^[0-9]{4}, Vol\. |^Report of |^Vol\. [0-9]|^HC Deb"
+# The line classes. A word's end is written out, as \\b differs between engines.
+NOISE = r"^$|^[0-9]+$|^SOs?\s+[0-9–-]|^CHAPTER [0-9]"
+RULING, ORDER = r"^[0-9]+/[0-9]+(?![A-Za-z0-9_])", r"^[0-9]+[A-Z]?\s+\S"
+CITATION = r"^\(?[0-9]+\)?\s{0,4}[0-9]{4},\s*Vol\.|^[0-9]{4},\s*Vol\.|^Report of |^Question of privilege |^Final report of "
+PAGE_LINE = r"^Originally published:|^Sort by:|^Also in this section:"
+PLAIN, PLAIN_MOST = r"^[A-Z][A-Za-z’'()\[\]\-,:;&/ ]+$", 100
+CAPS, CAPS_MOST = r"^[A-Z][A-Z0-9 '\"’()\-,:;&/]+$", 120
+CLAUSES = r"^\([0-9]+[A-Z]?\)\s+\S", r"^\([a-z]\)\s+\S", r"(?i)^\([ivxlcdm]+\)\s+\S", r"^•\s+\S"
 
 
 def page_noise(line: Column) -> Column:
-    return F.trim(line).rlike(NOISE)
+    return clean(line).rlike(NOISE)
 
 
 def ruling_start(line: Column) -> Column:
-    return F.trim(line).rlike(RULING)
+    return clean(line).rlike(RULING)
 
 
 def order_start(line: Column) -> Column:
-    return F.trim(line).rlike(ORDER)
+    return clean(line).rlike(ORDER)
+
+
+def order_parts(line: Column) -> tuple[Column, Column]:
+    """(number, heading or null) of an order's first line, null for other lines."""
+    x, form = clean(line), r"^([0-9]+[A-Z]?)\s+(.*)$"
+    part = lambda i: F.when(x.rlike(form), F.nullif(F.regexp_extract(x, form, i), F.lit("")))
+    return part(1), part(2)
+
+
+def ruling_parts(line: Column) -> tuple[Column, Column]:
+    """(number, the rest of its first line or null) of a ruling's first line, which is the number alone where nothing follows."""
+    x, form = clean(line), r"^([0-9]+/[0-9]+)\s+(.*)$"
+    return F.when(x.rlike(form), F.regexp_extract(x, form, 1)).otherwise(x), F.when(x.rlike(form), F.nullif(F.regexp_extract(x, form, 2), F.lit("")))
 
 
 def citation_line(line: Column) -> Column:
-    return F.trim(line).rlike(CITATION)
+    return clean(line).rlike(CITATION)
+
+
+def trailing_citations(lines: Column) -> tuple[Column, Column]:
+    """(body lines, citation lines) of an array of lines: what stands after the last line that is neither blank nor a citation."""
+    other = lambda x: ~((clean(x) == "") | citation_line(x))
+    places = F.filter(F.transform(lines, lambda x, i: F.when(other(x), i + 1).otherwise(0)), lambda i: i > 0)
+    last = F.coalesce(F.try_element_at(places, F.lit(-1)), F.lit(0))
+    tail = F.slice(lines, last + 1, F.greatest(F.size(lines) - last, F.lit(0)))
+    return F.slice(lines, F.lit(1), last), F.filter(F.transform(tail, clean), lambda x: x != "")
+
+
+def _heading(line: Column, form: str, most: int) -> Column:
+    x = clean(line)
+    return x.rlike(form) & (F.length(x) <= most) & ~x.rlike(f"{CITATION}|{RULING}|{ORDER}|{PAGE_LINE}")
 
 
 def plain_heading(line: Column) -> Column:
-    x = F.trim(line)
-    return (F.length(x) <= 100) & x.rlike(r"^[A-Z][A-Za-z ,'()-]+$") & ~citation_line(line)
+    return _heading(line, PLAIN, PLAIN_MOST)
 
 
 def caps_heading(line: Column) -> Column:
-    x = F.trim(line)
-    return (F.length(x) <= 120) & x.rlike(r"^[A-Z][A-Z0-9 ,'()-]+$")
+    return _heading(line, CAPS, CAPS_MOST)
 
 
 def unit_start(line: Column) -> Column:
-    """Lines that begin a semantic unit: ruling, order, (1), (a), (iv), bullet, heading."""
-    x = F.trim(line)
-    return x.rlike(RULING) | x.rlike(ORDER) | x.rlike(r"^\(([0-9]+|[a-z]|[ivx]+)\) ") | x.startswith("•") | plain_heading(line) | caps_heading(line)
+    """Lines that begin a semantic unit: ruling, order, (1A), (a), (iv), bullet, heading."""
+    x = clean(line)
+    return x.rlike("|".join((RULING, ORDER, *CLAUSES[:2], CLAUSES[3]))) | x.rlike(CLAUSES[2]) | plain_heading(line) | caps_heading(line)

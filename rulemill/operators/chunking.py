@@ -25,18 +25,19 @@ def blocks(sections: DataFrame) -> DataFrame:
     return joined.select("section_id", (F.row_number().over(W.partitionBy("section_id").orderBy("_g")) - 1).cast("long").alias("block"), text.alias("text"))
 
 
+#: Fixed value: white space before a clause, a sub-clause or a bullet.
+CLAUSE = re.compile(r"\s(?=\([0-9]+[A-Z]?\)|\([a-z]\)|\([ivxlcdm]+\)|•)", re.IGNORECASE)
+#: A cut must leave at least this share of the room.
+LEAST_SHARE = 0.55
+
+
 def cut_point(text: str, most: int) -> int:
-    """Where an oversized block is cut: at the last clause that leaves at least 55 % of the room, else after the last sentence,
-    semicolon or colon, else at the last space, else hard."""
-    clauses = [m.start() for m in re.finditer(r"(?i)\s(?=\((?:[0-9]+|[a-z]|[ivx]+)\)\s)", text[: most + 1])]
-    if clauses and clauses[-1] >= 0.55 * most:
-        return clauses[-1]
-    for mark in (". ", "; ", ": "):
-        at = text.rfind(mark, 0, most + len(mark))
-        if at > 0:
-            return at + 1
-    at = text.rfind(" ", 0, most + 1)
-    return at if at > 0 else most
+    """Where an oversized block is cut: before the last clause in the room, after its last sentence, semicolon or colon, or at its
+    last space, the first of these that lies far enough; else hard."""
+    clause = max((m.start() for m in CLAUSE.finditer(text[: most + 2]) if m.start() <= most), default=-1)
+    mark = max(text.rfind(x, 0, most + len(x)) for x in (". ", "; ", ": ")) + 1
+    space = text.rfind(" ", 0, most + 1)
+    return next((at for at in (clause, mark, space) if at >= int(most * LEAST_SHARE)), most)
 
 
 def pack(parts: list[str], target: int = TARGET, most: int = MOST) -> list[str]:

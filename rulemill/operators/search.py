@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import analysis as A
 from ..functions import text as T
+from ..sources.staging import small, stage
 
 
 def cluster_key(slug: Column, path: Column) -> Column:
@@ -14,44 +18,229 @@ def cluster_key(slug: Column, path: Column) -> Column:
     return F.when(n == 0, slug).when(n <= 3, F.array_join(path, " > ")).otherwise(F.array_join(F.slice(path, F.lit(1), F.greatest(n - 2, F.lit(1))), " > "))
 
 
+#: Substrings are met by their first grams of this many characters.
+GRAM = 3
+
+
+def substring_pairs(strings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, s): which distinct strings (column s) hold which query (query_id, _q), as an equi-join on grams, then verified."""
+    asked = queries.filter("_q <> ''").withColumn("_n", F.least(F.length("_q"), F.lit(GRAM)))
+    sizes = [r[0] for r in asked.select("_n").distinct().collect()]
+    if not sizes:
+        return asked.select("query_id", F.col("_q").alias("s")).limit(0)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring(F.col("s"), i, n))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.when(F.length("s") >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in sizes])))
+    listed = strings.select("s").distinct().select("s", F.explode(pieces).alias("_g"))
+    met = listed.join(small(asked.withColumn("_g", F.expr("left(_q, _n)"))), "_g")
+    return met.filter(F.col("s").contains(F.col("_q"))).select("query_id", "s")
+
+
+FLAGS = ("exact_key", "exact_citation", "exact_heading", "heading_like", "body_like", "path_like")
+
+
+def light(sections: DataFrame) -> DataFrame:
+    """The sections without their text, as searches look at them; staged."""
+    path = F.array_join("path", " > ")
+    return stage(
+        sections.select(
+            "section_id", "slug", "corpus", "citation_label", path.alias("path_text"), cluster_key(F.col("slug"), F.col("path")).alias("cluster_key"),
+            F.lower("section_key").alias("_k"), F.lower(F.regexp_replace("citation_label", r"\s+", "")).alias("_c"), F.lower("heading").alias("_h"), F.lower(path).alias("_p"),
+        ),
+        "light",
+    )
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """Queries (query_id, q, corpus_filter) with their normal forms; staged, as they are read by every branch."""
+    q = F.col("q")
+    return stage(queries.select("query_id", "q", "corpus_filter", F.lower(T.clean(q)).alias("_q"), T.exact_section_key(q).alias("_key"), T.exact_citation(q).alias("_cite"), T.word_total(q).alias("_words")), "queries")
+
+
+def signals(sections: DataFrame, base: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, section_id, flags): every section that a query meets by key, citation, heading, path or, for queries of one word,
+    text. Each branch is an equi-join: no section is compared with every query."""
+
+    def branch(flag: str, met: DataFrame) -> DataFrame:
+        return met.select("query_id", "section_id", *[F.lit(f == flag).alias(f) for f in FLAGS])
+
+    def substring(flag: str, strings: DataFrame, asked_: DataFrame) -> DataFrame:
+        pairs = stage(substring_pairs(strings, asked_.select("query_id", "_q")), "pairs")
+        return branch(flag, strings.join(small(pairs), "s"))
+
+    some = q.filter("_q <> ''")
+    tokens = sections.select("section_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("s"))
+    parts = [
+        branch("exact_key", base.join(small(some.select("query_id", F.col("_key").alias("_k"))), "_k")),
+        branch("exact_citation", base.join(small(some.select("query_id", F.col("_cite").alias("_c"))), "_c")),
+        branch("exact_heading", base.join(small(some.select("query_id", F.col("_q").alias("_h"))), "_h")),
+        substring("heading_like", base.filter("_h is not null").select("section_id", F.col("_h").alias("s")), some),
+        substring("path_like", base.select("section_id", F.col("_p").alias("s")), some),
+        substring("body_like", tokens, some.filter("_words = 1")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", "section_id").agg(*[F.max(f).alias(f) for f in FLAGS])
+
+
 def candidates(sections: DataFrame, queries: DataFrame) -> DataFrame:
-    """Sections that match a query (query_id, q, corpus_filter) by key, citation, heading, body or path. The queries are the
-    stated, small side of the join; each section is read once."""
-    s = sections.withColumn("path_text", F.array_join("path", " > ")).withColumn("cluster_key", cluster_key(F.col("slug"), F.col("path")))
-    s = s.withColumn("_h", F.lower(F.coalesce("heading", F.lit("")))).withColumn("_b", F.lower("content")).withColumn("_p", F.lower("path_text")).withColumn("_c", F.lower(F.regexp_replace("citation_label", r"\s+", "")))
-    q = queries.withColumn("_q", F.lower(T.clean(F.col("q")))).withColumn("_key", T.exact_section_key(F.col("q"))).withColumn("_cite", T.exact_citation(F.col("q"))).withColumn("_words", T.word_total(F.col("q")))
-    flags = {
-        "exact_key": F.lower("section_key") == F.col("_key"), "exact_citation": F.col("_c") == F.col("_cite"), "exact_heading": F.col("_h") == F.col("_q"), "heading_like": F.col("_h").contains(F.col("_q")),
-        "body_like": (F.col("_words") == 1) & F.col("_b").contains(F.col("_q")), "path_like": F.col("_p").contains(F.col("_q")),
-    }
-    flags = {k: F.coalesce(v & (F.col("_q") != ""), F.lit(False)) for k, v in flags.items()}
-    any_of = None
-    for flag in flags.values():
-        any_of = flag if any_of is None else any_of | flag
-    met = s.join(F.broadcast(q), any_of & (F.col("corpus_filter").isNull() | (F.col("corpus") == F.col("corpus_filter"))))
-    return met.select("query_id", "section_id", "slug", "corpus", "citation_label", "path_text", "cluster_key", *[v.alias(k) for k, v in flags.items()])
+    """The sections that each query meets (signals), with what ranking needs of them; the corpus filter is applied."""
+    base, q = light(sections), asked(queries)
+    met = signals(sections, base, q).join(base, "section_id").join(small(q.select("query_id", "corpus_filter")), "query_id")
+    met = met.filter(F.col("corpus_filter").isNull() | (F.col("corpus") == F.col("corpus_filter")))
+    return met.select("query_id", "section_id", "slug", "corpus", "citation_label", "path_text", "cluster_key", *FLAGS)
+
+
+#: What each signal and each rank is worth.
+WORTH = {"exact_key": 1200, "exact_citation": 1100, "exact_heading": 240, "heading_like": 80, "path_like": 70, "body_like": 2}
+RANK_WORTH = {"heading_rank": 650, "path_rank": 280, "body_rank": 110, "chunk_phrase_rank": 70, "section_rank": 55, "chunk_rank": 10}
+SUPPORT_STEP, SUPPORT_MOST = 45, 135
+
+
+def overall_rank(ranks: bool = True) -> Column:
+    """The rank of a row with the signals, cluster_support and, with `ranks`, the text ranks."""
+    total = sum((F.col(k).cast("int") * v for k, v in WORTH.items()), F.lit(0))
+    total = total + F.when(F.col("cluster_support") >= 2, F.least(SUPPORT_STEP * (F.col("cluster_support") - 1), F.lit(SUPPORT_MOST))).otherwise(0)
+    return sum((F.coalesce(k, F.lit(0.0)) * v for k, v in RANK_WORTH.items()), total.cast("double")) if ranks else total.cast("long")
+
+
+def supported(found: DataFrame, signal: Column) -> DataFrame:
+    """Adds cluster_support (candidates of the same query, document and cluster with the signal) and total (the query's candidates).
+    Both are counted by group, which Spark combines before the shuffle, and joined back."""
+    group = ["query_id", "slug", "cluster_key"]
+    counts = found.groupBy(*group).agg(F.count_if(signal).alias("cluster_support"), F.count("*").alias("_rows"))
+    totals = counts.groupBy("query_id").agg(F.sum("_rows").alias("total"))
+    return found.join(counts.drop("_rows"), group).join(totals, "query_id")
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """Cluster support over the candidates, the overall rank and the total of each query."""
+    """Cluster support over the candidates, the overall rank of the signals and the total of each query."""
     signal = F.col("exact_key") | F.col("exact_citation") | F.col("exact_heading") | F.col("heading_like") | F.col("path_like")
-    support = F.count_if(signal).over(W.partitionBy("query_id", "slug", "cluster_key"))
-    worth = {"exact_key": 1200, "exact_citation": 1100, "exact_heading": 240, "heading_like": 80, "path_like": 70, "body_like": 2}
-    rank = sum((F.col(k).cast("int") * v for k, v in worth.items()), F.lit(0))
-    bonus = F.when(F.col("cluster_support") >= 2, F.least(45 * (F.col("cluster_support") - 1), F.lit(135))).otherwise(0)
-    return found.withColumn("cluster_support", support.cast("long")).withColumn("overall_rank", (rank + bonus).cast("long")).withColumn("total", F.count("*").over(W.partitionBy("query_id")).cast("long"))
+    return supported(stage(found, "candidates"), signal).withColumn("overall_rank", overall_rank(ranks=False))
+
+
+ORDER = ("overall_rank", "exact_heading", "heading_rank", "path_rank", "cluster_support", "body_rank", "section_rank", "chunk_phrase_rank", "chunk_rank")
 
 
 def page(scored: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
-    """Places offset+1 .. offset+limit of each query."""
-    order = W.partitionBy("query_id").orderBy(F.desc("overall_rank"), F.desc("exact_heading"), F.desc("cluster_support"), "citation_label", "section_id")
-    placed = scored.withColumn("place", F.row_number().over(order).cast("long"))
-    return placed.filter((F.col("place") > offset) & (F.col("place") <= offset + limit)).withColumn("has_more", F.col("total") > offset + limit)
+    """Places offset+1 .. offset+limit of each query; ties by label, then id. Spark cuts each task's rows to the last place wanted
+    before it shuffles them."""
+    keys = [F.desc(c) for c in ORDER if c in scored.columns]
+    placed = scored.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*keys, "citation_label", "section_id")))
+    cut = placed.filter(F.col("place") <= offset + limit).filter(F.col("place") > offset)
+    return cut.withColumn("place", F.col("place").cast("long")).withColumn("has_more", F.col("total") > offset + limit)
+
+
+LIMITS, OFFSETS = (1, 50), (0, 10_000)
+
+
+def bounds(limit: int, offset: int) -> tuple[int, int]:
+    """Limit and offset brought into the bounds that a request may have."""
+    return max(LIMITS[0], min(LIMITS[1], limit)), max(OFFSETS[0], min(OFFSETS[1], offset))
 
 
 def search(sections: DataFrame, queries: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
-    limit, offset = max(1, min(50, limit)), max(0, min(10_000, offset))
-    return page(ranked(candidates(sections, queries)), limit, offset)
+    """A page of each query by signals alone."""
+    return page(ranked(candidates(sections, queries)), *bounds(limit, offset))
+
+
+def focused(results: DataFrame, focus: Column) -> DataFrame:
+    """Of each query's results the first whose id, key or label is the focus."""
+    same = (F.col("section_id").cast("string") == focus) | (F.col("section_key") == focus) | (F.col("citation_label") == focus)
+    return results.filter(same).withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).filter("_r = 1").drop("_r")
+
+
+def english_postings(sections: DataFrame) -> DataFrame:
+    """(section_id, part, field, class, lexeme, pos) of label, key (simple), heading, path and text; part is 0."""
+    fields = (("label", "A", "citation_label"), ("key", "A", "section_key"), ("heading", "A", "heading"), ("path", "B", F.array_join("path", " ")), ("content", "C", "content"))
+    words = [A.simple_words(F.col(x) if isinstance(x, str) else x) for _, _, x in fields]
+    sizes = [sum((F.size(w) for w in words[:i]), F.lit(0)) for i in range(len(words))]
+    parts = []
+    for (field, kind, _), own, start in zip(fields, words, sizes, strict=True):
+        stems = own if field == "key" else A.english(own)
+        parts.append(sections.select("section_id", F.lit(field).alias("field"), F.lit(kind).alias("class"), start.alias("_o"), F.posexplode(stems).alias("_i", "lexeme")))
+    every = reduce(DataFrame.unionByName, parts).filter("lexeme is not null")
+    return every.select("section_id", F.lit(0).cast("long").alias("part"), "field", "class", "lexeme", (F.col("_o") + F.col("_i")).cast("long").alias("pos"))
+
+
+def chunk_postings(chunks: DataFrame) -> DataFrame:
+    """The same of chunks (section_id, chunk_index, content), whose words have no class; part is the chunk's number."""
+    stems = A.english(A.simple_words(F.col("content")))
+    every = chunks.select("section_id", F.col("chunk_index").alias("part"), F.posexplode(stems).alias("pos", "lexeme")).filter("lexeme is not null")
+    return every.select("section_id", "part", F.lit("chunk").alias("field"), F.lit("D").alias("class"), "lexeme", F.col("pos").cast("long").alias("pos"))
+
+
+def asks(q: DataFrame) -> DataFrame:
+    """(query_id, kind, alt, clause, negated, at, lexeme, length, needed): the words that a query looks for. Kind `match` holds the
+    clauses of its alternatives; `phrase` and `singular` the whole query, and its singular form, as one phrase."""
+    one = lambda x: F.array(F.array(F.struct(x.alias("text"), F.lit(False).alias("negated"))))
+    kinds = F.array(
+        F.struct(F.lit("match").alias("kind"), A.clauses(F.col("q")).alias("alts")), F.struct(F.lit("phrase").alias("kind"), one(F.col("_q")).alias("alts")),
+        F.struct(F.lit("singular").alias("kind"), one(T.singular_phrase(F.col("q"))).alias("alts")),
+    )
+    alts = q.select("query_id", F.explode(kinds).alias("_k")).select("query_id", "_k.kind", F.posexplode("_k.alts").alias("alt", "_c"))
+    each = alts.select("query_id", "kind", "alt", F.posexplode("_c").alias("clause", "_c")).select("query_id", "kind", "alt", "clause", "_c.negated", A.english(A.simple_words(F.col("_c.text"))).alias("_w"))
+    each = each.withColumn("length", F.size(F.array_compact("_w"))).filter("length > 0")
+    needed = each.filter("not negated").groupBy("query_id", "kind", "alt").agg(F.count("*").alias("needed"))
+    words = each.join(needed, ["query_id", "kind", "alt"]).select("query_id", "kind", "alt", "clause", "negated", "length", "needed", F.posexplode("_w").alias("at", "lexeme"))
+    return stage(words.filter("lexeme is not null"), "asks")
+
+
+OWNER = ("query_id", "section_id", "part")
+
+
+def occurrences(posted: DataFrame, asked_: DataFrame) -> DataFrame:
+    """(query, owner, kind, alt, clause, negated, needed, field, class, start): where each clause stands, its words one after another."""
+    met = posted.join(small(asked_), "lexeme").withColumn("start", F.col("pos") - F.col("at"))
+    keys = [*OWNER, "kind", "alt", "clause", "negated", "needed", "length", "field", "class", "start"]
+    single = met.filter("length = 1").select(*keys)
+    return single.unionByName(met.filter("length > 1").groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n = length").select(*keys))
+
+
+def match_ranks(found: DataFrame) -> DataFrame:
+    """(owner, rank) of the owners that an alternative of a query matches: all its clauses hold, none that is negated."""
+    weight = F.coalesce(*[F.when(F.col("class") == c, F.lit(w)) for c, w in A.WEIGHTS.items()])
+    alts = found.filter("kind = 'match'").groupBy(*OWNER, "alt", "needed").agg(
+        F.count_if("negated").alias("_bad"), F.size(F.collect_set(F.when(~F.col("negated"), F.col("clause")))).alias("_got"),
+        F.array_sort(F.collect_list(F.when(~F.col("negated"), F.struct(F.col("start").alias("pos"), weight.alias("weight"), F.col("clause").alias("term"))))).alias("_hits"),
+    )
+    good = alts.filter("_bad = 0 and _got = needed")
+    return good.withColumn("_r", A.cover_ranks("_hits", F.col("needed").cast("long"))).groupBy(*OWNER).agg(F.max("_r").alias("rank"))
+
+
+def phrase_ranks(found: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(owner, one rank for each field): occurrences of the query's phrase or of its singular form, whichever has more. A field is read
+    without classes, so each occurrence weighs as a word without one."""
+    counts = found.filter(F.col("kind").isin("phrase", "singular") & F.col("field").isin(*fields)).groupBy(*OWNER, "kind", "field").agg(F.count("*").alias("_n"))
+    best = lambda f: (F.coalesce(F.max(F.when(F.col("field") == f, F.col("_n"))), F.lit(0)) * A.WEIGHTS["D"]).alias(f)
+    return counts.groupBy(*OWNER).agg(*[best(f) for f in fields])
+
+
+def search_ranked(sections: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 10, offset: int = 0, posted: DataFrame | None = None, chunk_posted: DataFrame | None = None) -> DataFrame:
+    """A page of each query by all signals and text ranks. `posted` and `chunk_posted` are the postings where they are stored."""
+    base, q = light(sections), asked(queries)
+    words = asks(q)
+    found = stage(occurrences(posted or english_postings(sections), words), "occurrences")
+    key = ["query_id", "section_id"]
+    text = match_ranks(found).select(*key, F.col("rank").alias("section_rank"))
+    phrases = phrase_ranks(found, ("heading", "content", "path")).select(*key, F.col("heading").alias("heading_rank"), F.col("content").alias("body_rank"), F.col("path").alias("path_rank"))
+    met = stage(signals(sections, base, q).join(text, key, "full").na.fill(False, list(FLAGS)), "met")
+    in_chunks = occurrences(chunk_posted or chunk_postings(chunks), words).join(met.select(*key), key, "left_semi")
+    in_chunks = stage(in_chunks, "chunk-occurrences")
+    per_chunk = match_ranks(in_chunks).withColumnRenamed("rank", "chunk_rank").join(phrase_ranks(in_chunks, ("chunk",)).withColumnRenamed("chunk", "chunk_phrase_rank"), list(OWNER), "full").na.fill(0.0)
+    best = per_chunk.groupBy(*key).agg(F.max(F.struct("chunk_phrase_rank", "chunk_rank", (-F.col("part")).alias("_p"))).alias("_b")).select(*key, "_b.chunk_phrase_rank", "_b.chunk_rank")
+    ranks = ["section_rank", "heading_rank", "body_rank", "path_rank", "chunk_phrase_rank", "chunk_rank"]
+    every = met.join(phrases, key, "left").join(best, key, "left").na.fill(0.0, ranks).join(base, "section_id").join(small(q.select("query_id", "corpus_filter")), "query_id")
+    every = every.filter(F.col("corpus_filter").isNull() | (F.col("corpus") == F.col("corpus_filter"))).select("query_id", "section_id", "slug", "corpus", "citation_label", "path_text", "cluster_key", *FLAGS, *ranks)
+    signal = F.col("exact_heading") | F.col("heading_like") | F.col("path_like") | (F.col("heading_rank") > 0) | (F.col("body_rank") > 0) | (F.col("path_rank") > 0)
+    scored = supported(stage(every, "candidates"), signal).withColumn("overall_rank", overall_rank())
+    matches = {"heading_match": F.col("heading_like") | (F.col("heading_rank") > 0), "body_match": F.col("body_like") | (F.col("body_rank") > 0), "path_match": F.col("path_like") | (F.col("path_rank") > 0)}
+    return page(scored, *bounds(limit, offset)).withColumns(matches)
+
+
+def compiled(queries: DataFrame) -> DataFrame:
+    """(query_id, match, phrase, singular): what the searches look for, as text."""
+    words = asks(asked(queries)).groupBy("query_id", "kind", "alt", "clause", "negated").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "lexeme"))), lambda x: x["lexeme"]), " <-> ").alias("_c"))
+    alts = words.groupBy("query_id", "kind", "alt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause", F.concat(F.when(F.col("negated"), "!").otherwise(""), "_c").alias("c")))), lambda x: x["c"]), " & ").alias("_a"))
+    kinds = alts.groupBy("query_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alt", "_a"))), lambda x: x["_a"]), " | ").alias("_t"))
+    return kinds.groupBy("query_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("_t"))).alias(k) for k in ("match", "phrase", "singular")])
 
 
 def postings(sections: DataFrame) -> DataFrame:
@@ -73,13 +262,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def term_match(posted: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, section_id, hits): sections that hold all terms."""
     terms = query_terms(queries).select("query_id", "lexeme", "terms").distinct()
-    met = posted.join(F.broadcast(terms), "lexeme").groupBy("query_id", "section_id", "terms").agg(F.countDistinct("lexeme").alias("_got"), F.count("*").alias("hits"))
+    met = posted.join(small(terms), "lexeme").groupBy("query_id", "section_id", "terms").agg(F.countDistinct("lexeme").alias("_got"), F.count("*").alias("hits"))
     return met.filter("_got = terms").select("query_id", "section_id", "hits")
 
 
 def phrase_match(posted: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, section_id, phrases): how often the query's words follow each other."""
-    met = posted.join(F.broadcast(query_terms(queries)), "lexeme").withColumn("_start", F.col("pos") - F.col("at"))
+    met = posted.join(small(query_terms(queries)), "lexeme").withColumn("_start", F.col("pos") - F.col("at"))
     whole = met.groupBy("query_id", "section_id", "_start", "length").agg(F.count("*").alias("_n")).filter("_n = length")
     return whole.groupBy("query_id", "section_id").agg(F.count("*").alias("phrases"))
 
@@ -89,6 +278,6 @@ def best_chunk(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     terms = queries.select("query_id", F.array_distinct(F.regexp_extract_all(F.lower("q"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("_t"))
     words = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), 0)
     posted = chunks.select("section_id", "chunk_index", F.explode(F.array_distinct(words)).alias("lexeme"))
-    met = posted.join(F.broadcast(terms.select("query_id", F.explode("_t").alias("lexeme"))), "lexeme").groupBy("query_id", "section_id", "chunk_index").agg(F.count("*").alias("term_hits"))
+    met = posted.join(small(terms.select("query_id", F.explode("_t").alias("lexeme"))), "lexeme").groupBy("query_id", "section_id", "chunk_index").agg(F.count("*").alias("term_hits"))
     order = W.partitionBy("query_id", "section_id").orderBy(F.desc("term_hits"), "chunk_index")
     return met.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
