@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = r"[\p{L}\p{N}]+"
 #: The stop list of the English analyser, a parameter of `analysed`: articles, pronouns, auxiliaries and prepositions.
@@ -90,7 +91,7 @@ def simple_words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(WORDS), 0)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(words: pd.Series) -> pd.Series:
     return words.map(lambda own: [stem(w) for w in own])
 
@@ -124,12 +125,12 @@ def cover_rank(hits: list[tuple[int, float, int]], terms: int) -> float:
         if len(last) < terms or first <= before:
             continue
         own = hits[first : i + 1]
-        total += len(own) / sum(1 / w for _, w, _ in own) / (1 + (at - own[0][0] + 1 - len(own)))
+        total += len(own) / sum(1 / w for _, w, _ in own) / (1 + max(0, at - own[0][0] + 1 - len(own)))
         before = first
     return total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cover_ranks(hits: pd.Series, terms: pd.Series) -> pd.Series:
     """cover_rank of each row's array<struct<pos,weight,term>>, sorted."""
     return pd.Series([cover_rank([(h["pos"], h["weight"], h["term"]) for h in own], n) if own is not None and len(own) else 0.0 for own, n in zip(hits, terms, strict=True)])

@@ -44,7 +44,8 @@ def pdf_normal(x: Column) -> Column:
     """Newlines unified, trailing blanks and long gaps cut, split `Vol.` and ligatures repaired."""
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.regexp_replace(F.regexp_replace(x, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return F.trim(F.replace(F.replace(F.replace(x, F.lit("V ol."), F.lit("Vol.")), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")))
+    x = F.replace(F.replace(F.replace(x, F.lit("V ol."), F.lit("Vol.")), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def escape_html(x: Column) -> Column:

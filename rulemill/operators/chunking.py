@@ -16,11 +16,11 @@ TARGET, MOST = 1200, 1800
 
 def blocks(sections: DataFrame) -> DataFrame:
     """(section_id, block, text): a blank line or a unit start begins a block; its lines are joined by spaces."""
-    lines = sections.select("section_id", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("blank", F.trim("line") == "")
+    lines = sections.select("section_id", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", T.clean(F.col("line"))).withColumn("blank", F.col("line") == "")
     order = W.partitionBy("section_id").orderBy("pos")
     starts = F.col("blank") | T.unit_start(F.col("line"))
     grouped = lines.withColumn("_g", F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(~F.col("blank"))
-    joined = grouped.groupBy("section_id", "_g").agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("line")))).alias("_l"))
+    joined = grouped.groupBy("section_id", "_g").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     text = T.clean(F.array_join(F.transform("_l", lambda x: x["line"]), " "))
     return joined.select("section_id", (F.row_number().over(W.partitionBy("section_id").orderBy("_g")) - 1).cast("long").alias("block"), text.alias("text"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis as A
 from ..functions import text as T
-from ..sources.staging import small, stage
+from ..sources.staging import few, hinted, small, stage
 
 
 def cluster_key(slug: Column, path: Column) -> Column:
@@ -22,7 +22,7 @@ def cluster_key(slug: Column, path: Column) -> Column:
 GRAM = 3
 
 
-def substring_pairs(strings: DataFrame, queries: DataFrame) -> DataFrame:
+def substring_pairs(strings: DataFrame, queries: DataFrame, known_few: bool) -> DataFrame:
     """(query_id, s): which distinct strings (column s) hold which query (query_id, _q), as an equi-join on grams, then verified."""
     asked = queries.filter("_q <> ''").withColumn("_n", F.least(F.length("_q"), F.lit(GRAM)))
     sizes = [r[0] for r in asked.select("_n").distinct().collect()]
@@ -31,7 +31,7 @@ def substring_pairs(strings: DataFrame, queries: DataFrame) -> DataFrame:
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring(F.col("s"), i, n))
     pieces = F.array_distinct(F.flatten(F.array(*[F.when(F.length("s") >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in sizes])))
     listed = strings.select("s").distinct().select("s", F.explode(pieces).alias("_g"))
-    met = listed.join(small(asked.withColumn("_g", F.expr("left(_q, _n)"))), "_g")
+    met = listed.join(hinted(asked.withColumn("_g", F.expr("left(_q, _n)")), known_few), "_g")
     return met.filter(F.col("s").contains(F.col("_q"))).select("query_id", "s")
 
 
@@ -64,15 +64,16 @@ def signals(sections: DataFrame, base: DataFrame, q: DataFrame) -> DataFrame:
         return met.select("query_id", "section_id", *[F.lit(f == flag).alias(f) for f in FLAGS])
 
     def substring(flag: str, strings: DataFrame, asked_: DataFrame) -> DataFrame:
-        pairs = stage(substring_pairs(strings, asked_.select("query_id", "_q")), "pairs")
+        pairs = stage(substring_pairs(strings, asked_.select("query_id", "_q"), known_few), "pairs")
         return branch(flag, strings.join(small(pairs), "s"))
 
+    known_few = few(q)
     some = q.filter("_q <> ''")
     tokens = sections.select("section_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("s"))
     parts = [
-        branch("exact_key", base.join(small(some.select("query_id", F.col("_key").alias("_k"))), "_k")),
-        branch("exact_citation", base.join(small(some.select("query_id", F.col("_cite").alias("_c"))), "_c")),
-        branch("exact_heading", base.join(small(some.select("query_id", F.col("_q").alias("_h"))), "_h")),
+        branch("exact_key", base.join(hinted(some.select("query_id", F.col("_key").alias("_k")).filter("_k is not null"), known_few), "_k")),
+        branch("exact_citation", base.join(hinted(some.select("query_id", F.col("_cite").alias("_c")).filter("_c is not null"), known_few), "_c")),
+        branch("exact_heading", base.join(hinted(some.select("query_id", F.col("_q").alias("_h")).filter("_h is not null"), known_few), "_h")),
         substring("heading_like", base.filter("_h is not null").select("section_id", F.col("_h").alias("s")), some),
         substring("path_like", base.select("section_id", F.col("_p").alias("s")), some),
         substring("body_like", tokens, some.filter("_words = 1")),
@@ -187,11 +188,19 @@ OWNER = ("query_id", "section_id", "part")
 
 
 def occurrences(posted: DataFrame, asked_: DataFrame) -> DataFrame:
-    """(query, owner, kind, alt, clause, negated, needed, field, class, start): where each clause stands, its words one after another."""
-    met = posted.join(small(asked_), "lexeme").withColumn("start", F.col("pos") - F.col("at"))
+    """(query, owner, kind, alt, clause, negated, needed, field, class, start): where each clause stands, its words one after another,
+    in the owners that hold the rarest word of an alternative. So a query of many words meets few owners, and only those are
+    joined with all of its words."""
+    alt, owner = ["query_id", "kind", "alt"], ["section_id", "part"]
+    known_few = few(asked_)
+    hits = stage(posted.join(hinted(asked_.select("lexeme").distinct(), known_few), "lexeme", "left_semi"), "hits")
+    often = hits.groupBy("lexeme").agg(F.count("*").alias("_f"))
+    rarest = asked_.filter("not negated").join(often, "lexeme", "left").groupBy(*alt).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "lexeme")).alias("_r"))
+    rarest = stage(rarest.filter("_r.f > 0").select(*alt, F.col("_r.lexeme").alias("lexeme")), "rarest")
+    owners = hits.select(*owner, "lexeme").distinct().join(hinted(rarest, known_few), "lexeme").drop("lexeme")
+    met = owners.join(hinted(asked_, known_few), alt).join(hits, [*owner, "lexeme"]).withColumn("start", F.col("pos") - F.col("at"))
     keys = [*OWNER, "kind", "alt", "clause", "negated", "needed", "length", "field", "class", "start"]
-    single = met.filter("length = 1").select(*keys)
-    return single.unionByName(met.filter("length > 1").groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n = length").select(*keys))
+    return met.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n = length").select(*keys)
 
 
 def match_ranks(found: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, chunking, concepts, reports, search
+from ..operators import chunking, reports, search
 from ..sources.corpus import SECTIONS_SQL, sections, table
+from . import catalog_rules
 
 _S = f"with {SECTIONS_SQL}"
 _CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -40,11 +41,6 @@ def q_line_classes(spark, d):
     return _lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), T.page_noise(x).alias("noise"), T.ruling_start(x).alias("ruling"), T.order_start(x).alias("order_start"), T.citation_line(x).alias("citation"), T.plain_heading(x).alias("plain"), T.caps_heading(x).alias("caps"))
 
 
-def q_discovery(spark, d):
-    s = sections(spark, d).filter("heading is not null")
-    return s.select("section_id", T.discovery_key(F.col("heading")).alias("key"), F.array_join(T.discovery_tokens(F.col("heading")), " ").alias("tokens"), T.heading_affinity(F.col("heading"), F.lit("The of and that")).alias("affine"))
-
-
 def q_cluster_support(spark, d):
     s = sections(spark, d).withColumn("cluster_key", search.cluster_key(F.col("slug"), F.col("path")))
     from pyspark.sql import Window as W
@@ -147,11 +143,14 @@ def q_blocks(spark, d):
     return chunking.blocks(sections(spark, d))
 
 
-_UNIT = r"""(regexp_matches(t, '^[0-9]+/[0-9]+\b') or regexp_matches(t, '^[0-9]+[A-Z]?\s+\S') or regexp_matches(t, '^\(([0-9]+|[a-z]|[ivx]+)\) ') or starts_with(t, '•')
-  or (length(t) <= 100 and regexp_matches(t, '^[A-Z][A-Za-z ,''()-]+$') and not regexp_matches(t, '^\([0-9]+\) [0-9]{4}, Vol\. |^[0-9]{4}, Vol\. |^Report of |^Vol\. [0-9]|^HC Deb'))
-  or (length(t) <= 120 and regexp_matches(t, '^[A-Z][A-Z0-9 ,''()-]+$')))"""
+_RULING, _ORDER = r"^[0-9]+/[0-9]+\b", r"^[0-9]+[A-Z]?\s+\S"
+_CITATION = r"^\(?[0-9]+\)?\s{0,4}[0-9]{4},\s*Vol\.|^[0-9]{4},\s*Vol\.|^Report of |^Question of privilege |^Final report of "
+_OTHER = f"not regexp_matches(t, '{_CITATION}') and not regexp_matches(t, '{_RULING}') and not regexp_matches(t, '{_ORDER}') and not regexp_matches(t, '^(Originally published|Sort by|Also in this section):')"
+_PLAIN = rf"(length(t) <= 100 and regexp_matches(t, '^[A-Z][A-Za-z’''()\[\]\-,:;&/ ]+$') and {_OTHER})"
+_CAPS = rf"""(length(t) <= 120 and regexp_matches(t, '^[A-Z][A-Z0-9 ''"’()\-,:;&/]+$') and {_OTHER})"""
+_UNIT = rf"""(regexp_matches(t, '{_RULING}') or regexp_matches(t, '{_ORDER}') or regexp_matches(t, '^\([0-9]+[A-Z]?\)\s+\S') or regexp_matches(t, '^\([a-z]\)\s+\S') or regexp_matches(t, '(?i)^\([ivxlcdm]+\)\s+\S') or regexp_matches(t, '^•\s+\S') or {_PLAIN} or {_CAPS})"""
 _BLOCKS = rf"""ls as (select section_id, unnest(str_split(content, chr(10))) as line, unnest(range(len(str_split(content, chr(10))))) as pos from s),
-lt as (select *, trim(line) as t from ls),
+lt as (select *, trim(regexp_replace(line, '\s+', ' ', 'g')) as t from ls),
 lg as (select *, sum(case when t = '' or {_UNIT} then 1 else 0 end) over (partition by section_id order by pos) as g from lt),
 bs as (select section_id, g, trim(regexp_replace(string_agg(t, ' ' order by pos), '\s+', ' ', 'g')) as text from lg where t <> '' group by section_id, g),
 blocks as (select section_id, row_number() over (partition by section_id order by g) - 1 as block, text from bs)"""
@@ -161,50 +160,6 @@ def q_chunks(spark, d):
     return chunking.chunk_sections(sections(spark, d)).select("section_id", "chunk_index", F.length("content").cast("long").alias("chars"), "token_count_est")
 
 
-def _answers(spark, d):
-    c = table(spark, d, "conversations").filter("role = 'assistant'")
-    words = F.split("text", " ")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat(F.lit("## Bottom line\n"), F.element_at(words, 1), F.lit(" [SO 89(1); 22/5]\n## Empty\n## Rest\n"), F.col("text"), F.lit(" [SO 891, SO 90]")).alias("answer"))
-
-
-_ANSWERS = "an as (select conv_id * 1000 + turn as answer_id, '## Bottom line' || chr(10) || str_split(text, ' ')[1] || ' [SO 89(1); 22/5]' || chr(10) || '## Empty' || chr(10) || '## Rest' || chr(10) || text || ' [SO 891, SO 90]' as answer from conversations where role = 'assistant')"
-
-
-def q_citations(spark, d):
-    a = _answers(spark, d)
-    return answers.citation_verdicts(a, a.select("answer_id", F.array(F.lit("SO 89"), F.lit("22/5")).alias("labels")))
-
-
-def q_claims(spark, d):
-    return answers.claims(answers.answer_lines(_answers(spark, d))).select("answer_id", "claim_id", F.array_join("citations", "|").alias("citations"))
-
-
-def q_prune(spark, d):
-    return answers.without_empty_sections(answers.answer_lines(_answers(spark, d))).groupBy("answer_id", "section").agg(F.count("*").alias("lines"))
-
-
-def _registry(spark):
-    return spark.createDataFrame([("closing", 1, ["tion", "closure"], ["closure motion", "Ending debate"]), ("order", 2, ["the", "point of order"], ["point of order"]), ("rare", 3, ["zzzz"], ["nothing"])], concepts.REGISTRY)
-
-
-def _questions(spark, d):
-    words = F.split(T.clean(F.col("text")), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.slice(words, 1, 3).alias("planned"), F.slice(words, 2, 4).alias("terms"))
-
-
-def q_concepts(spark, d):
-    return concepts.infer_concepts(_questions(spark, d), _registry(spark))
-
-
-def q_query_plan(spark, d):
-    q = _questions(spark, d)
-    return concepts.query_plan(q, concepts.infer_concepts(q, _registry(spark)), _registry(spark))
-
-
-_REGISTRY = "reg as (select * from (values ('closing', 1, ['tion', 'closure'], ['closure motion', 'Ending debate']), ('order', 2, ['the', 'point of order'], ['point of order']), ('rare', 3, ['zzzz'], ['nothing'])) t(concept, ord, aliases, pq))"
-_INFER = "inf as (select b.item_id as question_id, reg.concept, reg.ord, reg.pq from benchmark b, reg where len(list_filter(reg.aliases, lambda a: contains(lower(b.text), a))) > 0)"
-_PLAN_WORDS = r"bw as (select item_id as question_id, str_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as w from benchmark)"
-
 SQL = {
     "q_clean_query": r"select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as cleaned, array_to_string(str_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:8], ' ') as first_words, len(str_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) as words, cast(ceil(length(text) / 4.0) as bigint) as tokens, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped from benchmark",
     "q_exact_keys": r"""with x as (select doc_id, unnest(['SO ' || doc_id, ' Standing  Order ' || doc_id || 'a', doc_id || '/7 ', 'so' || doc_id || 'B', 'rule ' || doc_id]) as q from documents),
@@ -214,15 +169,8 @@ select doc_id, q, k as section_key, replace(k, '-', '') as citation from z""",
     "q_singularize": r"""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents),
 v as (select word, case when length(word) <= 3 then word when word like '%ies' then left(word, length(word) - 3) || 'y' when word like '%sses' or word like '%ses' then left(word, length(word) - 2) when word like '%s' and word not like '%ss' then left(word, length(word) - 1) else word end as singular from w)
 select word, singular, nullif(singular || ' of ' || singular, word || ' of ' || word) as phrase from v""",
-    "q_line_classes": r"""with l as (select doc_id, unnest(str_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(str_split(coalesce(text, ''), chr(10))))) as pos from documents), t as (select *, trim(line) as t from l)
-select doc_id, pos, regexp_matches(t, '^[0-9]*$|^SOs? [0-9].*$|^CHAPTER [0-9]+$') as noise, regexp_matches(t, '^[0-9]+/[0-9]+\b') as ruling, regexp_matches(t, '^[0-9]+[A-Z]?\s+\S') as order_start,
-regexp_matches(t, '^\([0-9]+\) [0-9]{4}, Vol\. |^[0-9]{4}, Vol\. |^Report of |^Vol\. [0-9]|^HC Deb') as citation,
-length(t) <= 100 and regexp_matches(t, '^[A-Z][A-Za-z ,''()-]+$') and not regexp_matches(t, '^\([0-9]+\) [0-9]{4}, Vol\. |^[0-9]{4}, Vol\. |^Report of |^Vol\. [0-9]|^HC Deb') as plain,
-length(t) <= 120 and regexp_matches(t, '^[A-Z][A-Z0-9 ,''()-]+$') as caps from t""",
-    "q_discovery": _S + r""", k as (select section_id, heading, list_filter(regexp_extract_all(lower(heading), '[a-z0-9]+'), lambda w: length(w) >= 3 and w not in ('and', 'for', 'from', 'the', 'that', 'this', 'with')) as w from s where heading is not null),
-u as (select section_id, heading, list_filter(w, lambda x, i: list_position(w, x) = i) as w from k)
-select section_id, left(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 64) as key, array_to_string(w, ' ') as tokens,
-lower(trim(regexp_replace(heading, '\s+', ' ', 'g'))) = 'the of and that' as affine from u""",
+    "q_line_classes": f"""with l as (select doc_id, unnest(str_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(str_split(coalesce(text, ''), chr(10))))) as pos from documents), t as (select *, {_CLEAN.format("line")} as t from l)
+select doc_id, pos, t = '' or regexp_matches(t, '^[0-9]+$|^SOs?\\s+[0-9–-]+|^CHAPTER [0-9]+') as noise, regexp_matches(t, '{_RULING}') as ruling, regexp_matches(t, '{_ORDER}') as order_start, regexp_matches(t, '{_CITATION}') as citation, {_PLAIN} as plain, {_CAPS} as caps from t""",
     "q_cluster_support": _S + """, k as (select *, case when len(path) <= 3 then array_to_string(path, ' > ') else array_to_string(path[1:len(path) - 2], ' > ') end as cluster_key from s)
 select section_id, cluster_key, count(*) filter (where contains(lower(content), 'tion')) over (partition by slug, cluster_key) as support from k""",
     "q_search_like": _search_sql(10, 0, "sup as cluster_support,"),
@@ -237,16 +185,12 @@ select section_id, cluster_key, count(*) filter (where contains(lower(content),
     "q_duplicate_keys": _S + " select slug, heading, count(*) as copies from s group by all having count(*) > 1",
     "q_tail_sample": _S + " select section_id, slug, citation_label from s order by section_id desc limit 20",
     "q_blocks": f"{_S}, {_BLOCKS} select section_id, block, text from blocks",
-    "q_citations": f"with {_ANSWERS}, e as (select answer_id, unnest(list_distinct(list_filter(flatten(list_transform(regexp_extract_all(answer, '\\[([^\\]]+)\\]', 1), lambda x: list_transform(regexp_split_to_array(x, '[;,]'), lambda y: trim(y)))), lambda y: y <> ''))) as citation from an) select answer_id, citation, (citation in ('SO 89', '22/5') or regexp_matches(citation, '^(SO 89|22/5)[( ,;:]')) and not regexp_matches(citation, '(?i)\\b(mentioned|referred to|cited in)\\b') as ok from e",
-    "q_claims": f"with {_ANSWERS}, l as (select answer_id, unnest(str_split(answer, chr(10))) as t, unnest(range(len(str_split(answer, chr(10))))) as n from an) select answer_id, 'claim-' || (n + 1) as claim_id, case when contains(t, '[SO 89(1)') then 'SO 89(1)|22/5' else 'SO 891|SO 90' end as citations from l where regexp_matches(t, '\\[[^\\]]+\\]')",
-    "q_concepts": f"with {_REGISTRY}, {_INFER} select question_id, concept, ord from inf",
-    "q_query_plan": f"with {_REGISTRY}, {_INFER}, {_PLAN_WORDS}, e as (select question_id, unnest(w[1:3]) as query, unnest(range(3)) as ps, 0 as rnk, 'planner' as provenance from bw union all select question_id, unnest(w[2:5]), unnest(range(4)), 1, 'user_term' from bw union all select question_id, unnest(pq), unnest(range(ord * 1000, ord * 1000 + len(pq))), 2, 'registry_expansion' from inf), o as (select *, row_number() over (partition by question_id, lower(query) order by rnk, ps) as r from e where query <> ''), p as (select *, row_number() over (partition by question_id order by rnk, ps) as place from o where r = 1) select question_id, place, query, provenance from p where place <= 8",
 }
 
 
 def queries() -> dict:
-    return {name: function for name, function in globals().items() if name.startswith("q_")}
+    return {name: function for name, function in globals().items() if name.startswith("q_")} | catalog_rules.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | catalog_rules.SQL

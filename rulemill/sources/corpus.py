@@ -50,3 +50,33 @@ def replace_documents(df: DataFrame, path: str, document: str) -> None:
 def latest_builds(events: DataFrame) -> DataFrame:
     """The last state of each build, from its append-only events (build_id, at, status, notes)."""
     return events.groupBy("build_id").agg(F.min("at").alias("started_at"), F.max_by("status", "at").alias("status"), F.max_by("notes", "at").alias("notes"))
+
+
+def chunk_table(chunks: DataFrame, path: str) -> None:
+    """All chunks anew: the table is replaced as a whole."""
+    chunks.write.mode("overwrite").parquet(path)
+
+
+def merged_metadata(old: str, new: str):
+    """Two JSON objects of text values as one; values of the new one win."""
+    kind = "map<string,string>"
+    every = F.map_concat(F.map_filter(F.from_json(old, kind), lambda k, v: ~F.map_contains_key(F.from_json(new, kind), k)), F.from_json(new, kind))
+    return F.when(F.col(old).isNull(), F.col(new)).when(F.col(new).isNull(), F.col(old)).otherwise(F.to_json(every))
+
+
+def joined(parts: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
+    """Sections or chunks with the columns of their document; those without one are left out."""
+    from .staging import small
+
+    names = [c for c in documents.columns if c not in parts.columns or c == key]
+    return parts.join(small(documents.select(*names)), key)
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """(table_name, kind) of the tables and views that the session knows."""
+    return spark.createDataFrame([(t.name, t.tableType) for t in spark.catalog.listTables()], "table_name string, kind string").orderBy("table_name")
+
+
+def probe(spark: SparkSession) -> DataFrame:
+    """One row: whether the engine answers, when, which database and version."""
+    return spark.sql("select true as ok, current_timestamp() as at, current_database() as database, version() as version")

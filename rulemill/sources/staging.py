@@ -32,6 +32,16 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether `df` has at most `rows` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def hinted(df: DataFrame, known_few: bool) -> DataFrame:
+    """A side that was checked, or has no more rows than one that was: with a broadcast hint where it is small."""
+    return F.broadcast(df) if known_few else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows; larger ones are joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return hinted(df, few(df, rows))

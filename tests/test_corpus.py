@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rulemill.functions import text as T
-from rulemill.operators import chunking, concepts, reports
+from rulemill.operators import chunking, reports
 from rulemill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -43,13 +43,6 @@ def test_path_and_duplicates(spark):
         reports.require_unique(spark.createDataFrame([(1,), (1,)], "k int"), "k")
 
 
-def test_selection_covers_slots(spark):
-    scored = spark.createDataFrame([(1, 10, "a", 5.0, ["x"]), (1, 11, "a", 4.0, ["x", "y"]), (1, 12, "b", 3.0, ["z"]), (2, 20, "c", 1.0, [])], "question_id int, section_id int, family string, rank double, slots array<string>")
-    slots = spark.createDataFrame([(1, "x", 0, True), (1, "z", 1, True), (1, "y", 2, False)], "question_id int, slot string, ord int, required boolean")
-    got = {(r.question_id, r.place): r.section_id for r in concepts.select_authorities(scored, slots).collect()}
-    assert got == {(1, 1): 10, (1, 2): 12, (1, 3): 11, (2, 1): 20}
-
-
 def rows(df):
     return sorted(tuple("" if pd.isna(x) else str(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
@@ -57,7 +50,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations", "events"):
+    for t in ("documents", "benchmark", "labels", "conversations", "events", "pages"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.sql(entry.oracle_sql()[name]).df())
 
