@@ -38,7 +38,7 @@ def _tidy(x: Column) -> Column:
 def replaced(text: Column, pattern: str, group: int, by) -> Column:
     """The text with each match of the pattern replaced by a function of its group."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.array_join(F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, F.coalesce(by(m), F.lit(""))))), "")
+    return F.array_join(F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, F.when(m.isNotNull(), by(m)).otherwise(F.lit(""))))), "")
 
 
 def formatted(x: Column) -> Column:

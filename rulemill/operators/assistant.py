@@ -70,9 +70,9 @@ def authorities(rounds: dict[str, DataFrame]) -> DataFrame:
     return out.select("question_id", "place", "section_id", "citation_label", "heading", "path", "corpus", F.col("adjusted_rank").alias("rank"), "authority_class", "authority_function", "satisfied")
 
 
-def answer(questions: DataFrame, drafts: DataFrame, sections: DataFrame, chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """(question_id, status, reason, answer): the drafts (question_id, draft, verdicts) of the questions after all checks."""
-    rounds = answer_rounds(questions, sections, chunks, registry)
+def answer(questions: DataFrame, drafts: DataFrame, rounds: dict[str, DataFrame]) -> DataFrame:
+    """(question_id, status, reason, answer): the drafts (question_id, draft, verdicts) of the questions after all checks, by what the
+    rounds retrieved."""
     one = F.struct("citation_label", "heading", "path", "authority_class", "authority_function")
     own = authorities(rounds).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", one.alias("a")))), lambda x: x["a"]).alias("authorities"))
     gaps = rounds["gaps"].groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot_key", "description"))), lambda x: x["description"]).alias("gaps"))

@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYT
 def spark():
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.codegen.wholeStage", "false").config("spark.sql.adaptive.enabled", "false").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -129,18 +129,19 @@ def test_ranked_search(spark):
     s = book(spark)
     q = [(1, "closure motions", None), (2, "SO 138", None), (3, '"points of order" -evasive', None), (4, "closure or seating", None), (5, "the", None), (6, "chairperson", SO), (7, "members speaking -relevancy", None)]
     df = search.search_ranked(s, chunks_of(s), spark.createDataFrame(q, "query_id int, q string, corpus_filter string"))
-    got = {}
-    for r in df.orderBy("query_id", "place").collect():
+    rows, got = sorted(df.collect(), key=lambda r: (r.query_id, r.place)), {}
+    for r in rows:
         got.setdefault(r.query_id, []).append(r)
     assert [r.section_id for r in got[1]] == [1, 2] and got[1][0].heading_match and got[1][0].chunk_phrase_rank > 0
     assert got[2][0].section_id == 2 and got[2][0].exact_key and got[2][0].exact_citation
     assert [r.section_id for r in got[3]] == [3]
     assert {r.section_id for r in got[4]} == {1, 2, 7, 8} and 6 not in got and 7 not in got
-    assert all(r.total == len(got[r.query_id]) for r in df.collect())
+    assert all(r.total == len(got[r.query_id]) for r in rows)
     assert {r.match for r in search.compiled(spark.createDataFrame([(3, q[2][1], None)], "query_id int, q string, corpus_filter string")).collect()} == {"point <-> order & !evas"}
     first = search.page(search.ranked(search.candidates(s, spark.createDataFrame([(1, "chairperson", None)], "query_id int, q string, corpus_filter string"))), 1, 1)
     assert [(r.place, r.has_more) for r in first.collect()] == [(2, False)] and search.bounds(99, -1) == (50, 0)
-    focus = search.focused(df.join(s.select("section_id", "section_key"), "section_id"), F.lit("22/5")).collect()
+    shown = spark.createDataFrame([(r.query_id, r.place, r.section_id, r.citation_label) for r in rows], "query_id int, place long, section_id long, citation_label string")
+    focus = search.focused(shown.join(s.select("section_id", "section_key"), "section_id"), F.lit("22/5")).collect()
     assert sorted((r.query_id, r.section_id) for r in focus) == [(3, 3), (5, 3)]
 
 
@@ -169,7 +170,7 @@ def test_answer_rounds_and_gate(spark):
     gaps = {r.slot_key: r.description for r in rounds["gaps"].filter("question_id = 3").collect()}
     assert gaps["withdrawal_rule"] == "the required evidence for withdrawal rule" and gaps["retrospective_timing_rule"].startswith("whether the Speaker")
     drafts = spark.createDataFrame([(1, "bottom line\nYes [SO 137].\n\nWhat this means:\nIt ends debate [SO 138(2)].", [("claim-2", True), ("claim-5", True)]), (2, "Bottom line:\nNo [SO 9].", [])], "question_id int, draft string, verdicts array<struct<id:string,supported:boolean>>")
-    got = {r.question_id: r for r in assistant.answer(questions, drafts, s, chunks_of(s), reg).collect()}
+    got = {r.question_id: r for r in assistant.answer(questions, drafts, rounds).collect()}
     assert got[1].status == "grounded" and got[1].answer == "Bottom line:\nYes [SO 137].\n\nWhat this means:\nIt ends debate [SO 138]."
     assert [got[k].status for k in (2, 3)] == ["fallback"] * 2 and "[70/" in got[2].answer and got[3].reason == "the draft was empty"
     with pytest.raises(ValueError):
