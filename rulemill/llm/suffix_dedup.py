@@ -4,7 +4,7 @@ Strings of `size` bytes that start at more than one place of the corpus are foun
 strings meet: each string is owned by its lowest-hashed gram of 64 bytes (among places that a hash of 4 bytes picks). A gram's
 strings are parted by where the gram lies in them; all strings of a part have a longer extension of the gram in common. Their
 span - the bytes of all of them, the extension left out - goes to the block of the extension. Grams and extensions that occur
-once are filtered out before anything is shipped; equal spans of a task are shipped once.
+once are filtered out before anything is shipped; equal spans that a task holds at a time are shipped once.
 
 In a block, the spans are joined with separators, a mark and a number in place of each extension, and sorted to a suffix array; the transform's intervals are extended backward,
 breadth first: the queue holds the intervals of all strings of one length, each extension whose right border has no common-prefix
@@ -37,6 +37,8 @@ MARK, DIGITS = 257, 3  # what stands for an extension in a block: a symbol of it
 PICK = 15  # of 4 bytes' hash: one place in 16
 BLOCK_BYTES = 1 << 20
 HOT = 2_000
+#: Spans and rows of hot strings that a task holds before it ships them.
+HELD, HELD_HOT = 1 << 15, 1 << 19
 
 
 class Hashes:
@@ -231,7 +233,31 @@ def block_answers(spans: list[tuple[int, bytes]], width: int) -> list[np.ndarray
 SPANS = "h long, g long, span binary, key long, place long"
 
 
-def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def _span_rows(spans: dict) -> pa.RecordBatch:
+    """The rows of (extension, span) -> owners: one with the span, and one without for each owner where there are several."""
+    out = {"h": [], "g": [], "span": [], "key": [], "place": []}
+
+    def add(h, span, key, place):
+        for name, value in zip(out, (h, 0, span, key, place), strict=True):
+            out[name].append(value)
+
+    for (x, span), where in spans.items():
+        if len(where) == 1:
+            add(x, span, where[0][0], where[0][1] << 32 | where[0][2] << 1)
+            continue
+        add(x, span, 0, 1)
+        for key, start, n in where:
+            add(key ^ start, None, key, start << 32 | n << 1 | 1)
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "span" else pa.int64()) for k, v in out.items()], names=list(out))
+
+
+def _hot_rows(own: Places, held: list) -> pa.RecordBatch:
+    """The rows of hot strings, with an empty span."""
+    rows = own.rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([b""] * rows.num_rows, pa.binary()), rows.column(2), rows.column(3)], names=["h", "g", "span", "key", "place"])
+
+
+def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT, held: int = HELD, held_hot: int = HELD_HOT) -> DataFrame:
     """(key, runs) of the documents (columns key, text) that have repeated strings."""
     context = docs.sparkSession.sparkContext
     width = part_width(size, gram)
@@ -251,10 +277,10 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
 
     def ship(batches):
         own = Places()
+        spans: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        hot_rows: list = []
         for batch in batches:
             texts, keys = as_bytes(batch.column(1)), np.asarray(batch.column(0).to_pylist(), np.int64)
-            spans: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            hot_rows = []
             for data, hashes, first, h, at, low, high, text in _parts(texts, size, gram, filters):
                 base = first[np.searchsorted(first, low, "right") - 1]
                 many = filters[2].value.has(h)
@@ -265,24 +291,15 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
                     starts = np.repeat(low[many] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
                     second = Hashes(np.frombuffer(data, np.uint8), BYTE_MUL2).of(starts, size)
                     hot_rows.append((hashes.of(starts, size), second, keys[np.repeat(text[many], n)], starts - np.repeat(base[many], n)))
-            out = {"h": [], "span": [], "key": [], "place": []}
-
-            def add(h, span, key, place):
-                for name, value in zip(out, (h, span, key, place), strict=True):
-                    out[name].append(value)
-
-            for (x, span), where in spans.items():
-                if len(where) == 1:
-                    add(x, span, where[0][0], where[0][1] << 32 | where[0][2] << 1)
-                    continue
-                add(x, span, 0, 1)
-                for key, start, n in where:
-                    add(key ^ start, None, key, start << 32 | n << 1 | 1)
-            names = ["h", "g", "span", "key", "place"]
-            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array([0] * len(out["h"]), pa.int64()), pa.array(out["span"], pa.binary()), pa.array(out["key"], pa.int64()), pa.array(out["place"], pa.int64())], names=names)
-            if hot_rows:
-                rows = own.rows(*(np.concatenate(x) for x in zip(*hot_rows, strict=True)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([b""] * rows.num_rows, pa.binary()), rows.column(2), rows.column(3)], names=names)
+                if len(spans) >= held:
+                    yield _span_rows(spans)
+                    spans.clear()
+                if sum(len(x[0]) for x in hot_rows) >= held_hot:
+                    yield _hot_rows(own, hot_rows)
+                    hot_rows.clear()
+        yield _span_rows(spans)
+        if hot_rows:
+            yield _hot_rows(own, hot_rows)
 
     rows = stage(docs.select("key", "text").mapInArrow(ship, SPANS), "spans")
     counted = repeated_places(rows.filter("length(span) = 0").select("h", "g", "key", "place"))

@@ -207,6 +207,23 @@ def test_suffix_dedup(spark, hot):
     assert suffix_dedup.remove_repeats(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_ships_in_pieces(spark, hot):
+    """A task that ships after each group of texts finds what it finds holding all: repeats within a text, in two and in three texts."""
+    rng = np.random.default_rng(5)
+    filler = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    twice, thrice, own = filler(700), filler(450), filler(500)
+    texts = [
+        f"{filler(600_000)}1{thrice}2{filler(500_000)}3{twice}4", f"{filler(1_100_000)}5{own}6{filler(900)}7{own}8{thrice}9",
+        f"A{twice}B{filler(1_050_000)}C{thrice}D", filler(2_000),
+    ]
+    want = {0: (1150, 2), 1: (1450, 3), 2: (1150, 2), 3: (0, 0)}
+    one_task = docs(spark, texts).coalesce(1)
+    for held in ({"held": 1, "held_hot": 1}, {}):
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(one_task, hot=hot, **held).select("doc_id", "n_removed", "n_spans").collect()}
+        assert got == want
+
+
 def test_decontamination_blocks(spark, monkeypatch):
     item = words(1, 300).split()
     bench = spark.createDataFrame([("a", " ".join(item[20:45])), ("b", "la la"), ("c", None), ("d", ""), (None, "x"), ("e", "É")], "item_id string, text string")
