@@ -16,6 +16,9 @@ QUERIES = {
     "op8_exact_dedup": ("exact_dedup", "OP8_SQL"),
     "op9_decontamination": ("decontamination", "OP9_SQL"),
     "op10_suffix_array_dedup": ("suffix_dedup", None),
+    "op11_repair": ("repair", "OP11_SQL"),
+    "op12_sharding": ("sharding", "OP12_SQL"),
+    "op13_hard_negatives": ("hard_negatives", "OP13_SQL"),
 }
 
 
