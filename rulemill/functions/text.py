@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def clean(x: Column) -> Column:
     """Trimmed, white space (that of Unicode too) collapsed to one space."""
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(x, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def exact_section_key(x: Column) -> Column:
@@ -158,20 +158,26 @@ def trailing_citations(lines: Column) -> tuple[Column, Column]:
     return F.slice(lines, F.lit(1), last), F.filter(F.transform(tail, clean), lambda x: x != "")
 
 
-def _heading(line: Column, form: str, most: int) -> Column:
-    x = clean(line)
-    return x.rlike(form) & (F.length(x) <= most) & ~x.rlike(f"{CITATION}|{RULING}|{ORDER}|{PAGE_LINE}")
+def _heading(x: Column, form: str, most: int) -> Column:
+    """Of a clean line."""
+    return (F.length(x) <= most) & x.rlike(form) & ~x.rlike(f"{CITATION}|{RULING}|{ORDER}|{PAGE_LINE}")
 
 
 def plain_heading(line: Column) -> Column:
-    return _heading(line, PLAIN, PLAIN_MOST)
+    return _heading(clean(line), PLAIN, PLAIN_MOST)
 
 
 def caps_heading(line: Column) -> Column:
-    return _heading(line, CAPS, CAPS_MOST)
+    return _heading(clean(line), CAPS, CAPS_MOST)
 
 
 def unit_start(line: Column) -> Column:
     """Lines that begin a semantic unit: ruling, order, (1A), (a), (iv), bullet, heading."""
-    x = clean(line)
-    return x.rlike("|".join((RULING, ORDER, *CLAUSES[:2], CLAUSES[3]))) | x.rlike(CLAUSES[2]) | plain_heading(line) | caps_heading(line)
+    return clean_unit_start(clean(line))
+
+
+def clean_unit_start(x: Column) -> Column:
+    """`unit_start` of a line that is clean already. Only lines that begin with a digit, a capital, ( or • are looked at."""
+    first = F.left(x, F.lit(1))
+    numbered = first.isin(*"0123456789(•") & (x.rlike("|".join((RULING, ORDER, *CLAUSES[:2], CLAUSES[3]))) | x.rlike(CLAUSES[2]))
+    return numbered | (first.between("A", "Z") & (F.length(x) <= max(PLAIN_MOST, CAPS_MOST)) & (_heading(x, PLAIN, PLAIN_MOST) | _heading(x, CAPS, CAPS_MOST)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ def blocks(sections: DataFrame) -> DataFrame:
     """(section_id, block, text): a blank line or a unit start begins a block; its lines are joined by spaces."""
     lines = sections.select("section_id", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", T.clean(F.col("line"))).withColumn("blank", F.col("line") == "")
     order = W.partitionBy("section_id").orderBy("pos")
-    starts = F.col("blank") | T.unit_start(F.col("line"))
+    starts = F.col("blank") | T.clean_unit_start(F.col("line"))
     grouped = lines.withColumn("_g", F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(~F.col("blank"))
     joined = grouped.groupBy("section_id", "_g").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     text = T.clean(F.array_join(F.transform("_l", lambda x: x["line"]), " "))
@@ -26,7 +27,7 @@ def blocks(sections: DataFrame) -> DataFrame:
 
 
 #: Fixed value: white space before a clause, a sub-clause or a bullet.
-CLAUSE = re.compile(r"\s(?=\([0-9]+[A-Z]?\)|\([a-z]\)|\([ivxlcdm]+\)|•)", re.IGNORECASE)
+CLAUSE = re.compile(r"\s(?=\([0-9]+[A-Za-z]?\)|\([A-Za-z]\)|\([ivxlcdmIVXLCDM]+\)|•)")
 #: A cut must leave at least this share of the room.
 LEAST_SHARE = 0.55
 
@@ -34,7 +35,7 @@ LEAST_SHARE = 0.55
 def cut_point(text: str, most: int) -> int:
     """Where an oversized block is cut: before the last clause in the room, after its last sentence, semicolon or colon, or at its
     last space, the first of these that lies far enough; else hard."""
-    clause = max((m.start() for m in CLAUSE.finditer(text[: most + 2]) if m.start() <= most), default=-1)
+    clause = max(takewhile(lambda at: at <= most, (m.start() for m in CLAUSE.finditer(text))), default=-1)
     mark = max(text.rfind(x, 0, most + len(x)) for x in (". ", "; ", ": ")) + 1
     space = text.rfind(" ", 0, most + 1)
     return next((at for at in (clause, mark, space) if at >= int(most * LEAST_SHARE)), most)

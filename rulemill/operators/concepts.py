@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, discovery_key, heading_affinity
 from ..plans import registry as R
-from ..sources.staging import small, stage
+from ..sources.staging import stage
 
 
 def lowered(x: Column) -> Column:
@@ -39,7 +39,7 @@ def infer_concepts(questions: DataFrame, registry: DataFrame, phrases=R.PHRASES)
     the first mention counts."""
     rules = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(c).alias("concept"), _strings(words).alias("words")) for i, (words, own) in enumerate(phrases) for j, c in enumerate(own)])
     q = questions.select("question_id", F.lower("question").alias("_q"), F.transform(F.coalesce("planned", F.array().cast("array<string>")), lowered).alias("_planned"))
-    reg = small(registry.select("concept", "ord", "aliases", F.transform(F.coalesce("planner_triggers", F.array().cast("array<string>")), lowered).alias("_triggers")))
+    reg = F.broadcast(registry.select("concept", "ord", "aliases", F.transform(F.coalesce("planner_triggers", F.array().cast("array<string>")), lowered).alias("_triggers")))
     by_rule = q.select("question_id", F.explode(F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.col("_q").contains(w)))).alias("_r")).select("question_id", "_r.concept", F.struct(F.lit(1).alias("step"), F.col("_r.i").alias("i"), F.col("_r.j").alias("j")).alias("at"))
     alias, trigger = holds_any(F.col("_q"), F.col("aliases")), F.arrays_overlap("_planned", F.filter("_triggers", lambda t: t != ""))
     met = q.join(reg, alias | trigger)
@@ -83,7 +83,7 @@ def query_plan(questions: DataFrame, inferred: DataFrame, registry: DataFrame, m
             each = each.withColumn("_j", F.lit(0))
         return each.select("question_id", F.struct(F.lit(rank).alias("r"), F.col("_at").cast("long").alias("i"), F.col("_j").cast("long").alias("j")).alias("at"), "query", F.lit(provenance).alias("provenance"))
 
-    own = inferred.join(small(registry.select("concept", "preferred_queries")), "concept").select("question_id", F.col("place").alias("_i"), F.posexplode("preferred_queries").alias("_j", "query"))
+    own = inferred.join((registry.select("concept", "preferred_queries")), "concept").select("question_id", F.col("place").alias("_i"), F.posexplode("preferred_queries").alias("_j", "query"))
     own = own.select("question_id", F.struct(F.lit(4).alias("r"), F.col("_i").alias("i"), F.col("_j").cast("long").alias("j")).alias("at"), "query", F.lit("registry_expansion").alias("provenance"))
     extra = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.lit(q).alias("query"), _strings(c).alias("any")) for i, (c, own_) in enumerate(additions) for j, q in enumerate(own_)])
     active = inferred.groupBy("question_id").agg(F.collect_set("concept").alias("_c"))
@@ -231,7 +231,7 @@ def slot_scores(scored: DataFrame) -> DataFrame:
 def blueprint(inferred: DataFrame, registry: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
     """(question_id, slots): the active concepts' slots in order, each key once, without superseded ones, then discovered slots
     (question_id, ord, slot)."""
-    own = inferred.join(small(registry.select("concept", "slots", "supersedes")), "concept")
+    own = inferred.join((registry.select("concept", "slots", "supersedes")), "concept")
     gone = own.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("supersedes", F.array().cast("array<string>"))))).alias("_gone"))
     each = own.select("question_id", F.col("place").alias("_a"), F.posexplode("slots").alias("_b", "slot")).select("question_id", F.struct(F.lit(0).alias("r"), F.col("_a").alias("a"), F.col("_b").cast("long").alias("b")).alias("at"), "slot")
     each = each.join(gone, "question_id").filter(~F.array_contains("_gone", F.col("slot.key"))).drop("_gone")
@@ -253,7 +253,7 @@ def static_terms(inferred: DataFrame, registry: DataFrame) -> DataFrame:
     """(question_id, _known): all terms that the active concepts already own."""
     none = F.array().cast("array<string>")
     terms = F.concat(*[F.coalesce(c, none) for c in ("aliases", "planner_triggers", "preferred_queries")])
-    own = inferred.join(small(registry.select("concept", F.transform(terms, lowered).alias("_t"))), "concept")
+    own = inferred.join((registry.select("concept", F.transform(terms, lowered).alias("_t"))), "concept")
     return own.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list("_t"))).alias("_known"))
 
 

@@ -1,4 +1,4 @@
-"""Batched section search: all queries of a table in one job."""
+"""Batched section search over a stored index: all queries of a table in one job."""
 
 from __future__ import annotations
 
@@ -8,85 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import analysis as A
 from ..functions import text as T
-from ..sources.staging import few, hinted, small, stage
-
-
-def cluster_key(slug: Column, path: Column) -> Column:
-    n = F.size(path)
-    return F.when(n == 0, slug).when(n <= 3, F.array_join(path, " > ")).otherwise(F.array_join(F.slice(path, F.lit(1), F.greatest(n - 2, F.lit(1))), " > "))
-
-
-#: Substrings are met by their first grams of this many characters.
-GRAM = 3
-
-
-def substring_pairs(strings: DataFrame, queries: DataFrame, known_few: bool) -> DataFrame:
-    """(query_id, s): which distinct strings (column s) hold which query (query_id, _q), as an equi-join on grams, then verified."""
-    asked = queries.filter("_q <> ''").withColumn("_n", F.least(F.length("_q"), F.lit(GRAM)))
-    sizes = [r[0] for r in asked.select("_n").distinct().collect()]
-    if not sizes:
-        return asked.select("query_id", F.col("_q").alias("s")).limit(0)
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring(F.col("s"), i, n))
-    pieces = F.array_distinct(F.flatten(F.array(*[F.when(F.length("s") >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in sizes])))
-    listed = strings.select("s").distinct().select("s", F.explode(pieces).alias("_g"))
-    met = listed.join(hinted(asked.withColumn("_g", F.expr("left(_q, _n)")), known_few), "_g")
-    return met.filter(F.col("s").contains(F.col("_q"))).select("query_id", "s")
+from ..sources.staging import stage
+from . import index as I
+from .index import Index, cluster_key
 
+__all__ = ["cluster_key", "search", "search_ranked", "focused", "compiled", "term_match", "phrase_match", "best_chunk", "postings"]
 
 FLAGS = ("exact_key", "exact_citation", "exact_heading", "heading_like", "body_like", "path_like")
 
 
-def light(sections: DataFrame) -> DataFrame:
-    """The sections without their text, as searches look at them; staged."""
-    path = F.array_join("path", " > ")
-    return stage(
-        sections.select(
-            "section_id", "slug", "corpus", "citation_label", path.alias("path_text"), cluster_key(F.col("slug"), F.col("path")).alias("cluster_key"),
-            F.lower("section_key").alias("_k"), F.lower(F.regexp_replace("citation_label", r"\s+", "")).alias("_c"), F.lower("heading").alias("_h"), F.lower(path).alias("_p"),
-        ),
-        "light",
-    )
-
-
 def asked(queries: DataFrame) -> DataFrame:
     """Queries (query_id, q, corpus_filter) with their normal forms; staged, as they are read by every branch."""
     q = F.col("q")
-    return stage(queries.select("query_id", "q", "corpus_filter", F.lower(T.clean(q)).alias("_q"), T.exact_section_key(q).alias("_key"), T.exact_citation(q).alias("_cite"), T.word_total(q).alias("_words")), "queries")
+    return stage(queries.select("query_id", "q", "corpus_filter", F.lower(T.clean(q)).alias("_q"), T.singular_phrase(q).alias("_singular"), T.exact_section_key(q).alias("_key"), T.exact_citation(q).alias("_cite"), T.word_total(q).alias("_words")), "queries")
 
 
-def signals(sections: DataFrame, base: DataFrame, q: DataFrame) -> DataFrame:
+def signals(index: Index, q: DataFrame) -> DataFrame:
     """(query_id, section_id, flags): every section that a query meets by key, citation, heading, path or, for queries of one word,
     text. Each branch is an equi-join: no section is compared with every query."""
 
     def branch(flag: str, met: DataFrame) -> DataFrame:
         return met.select("query_id", "section_id", *[F.lit(f == flag).alias(f) for f in FLAGS])
 
-    def substring(flag: str, strings: DataFrame, asked_: DataFrame) -> DataFrame:
-        pairs = stage(substring_pairs(strings, asked_.select("query_id", "_q"), known_few), "pairs")
-        return branch(flag, strings.join(small(pairs), "s"))
-
-    known_few = few(q)
-    some = q.filter("_q <> ''")
-    tokens = sections.select("section_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("s"))
-    parts = [
-        branch("exact_key", base.join(hinted(some.select("query_id", F.col("_key").alias("_k")).filter("_k is not null"), known_few), "_k")),
-        branch("exact_citation", base.join(hinted(some.select("query_id", F.col("_cite").alias("_c")).filter("_c is not null"), known_few), "_c")),
-        branch("exact_heading", base.join(hinted(some.select("query_id", F.col("_q").alias("_h")).filter("_h is not null"), known_few), "_h")),
-        substring("heading_like", base.filter("_h is not null").select("section_id", F.col("_h").alias("s")), some),
-        substring("path_like", base.select("section_id", F.col("_p").alias("s")), some),
-        substring("body_like", tokens, some.filter("_words = 1")),
-    ]
+    filled = q.filter("_q <> ''")
+    by = lambda flag, column, asked_: branch(flag, index.base.join(filled.select("query_id", asked_.alias(column)).filter(F.col(column).isNotNull()), column))
+    kinds = F.when(F.col("_words") == 1, F.array(F.lit("heading"), F.lit("path"), F.lit("token"))).otherwise(F.array(F.lit("heading"), F.lit("path")))
+    pairs = stage(I.substring_pairs(index, filled, kinds), "pairs")
+    some = [r[0] for r in pairs.select("kind").distinct().collect()]  # of three
+    held = index.holders.filter(F.col("kind").isin(some)).join(pairs, ["kind", "s"])
+    like = held.select("query_id", "section_id", *[(F.col("kind") == {"heading_like": "heading", "path_like": "path", "body_like": "token"}[f] if f in ("heading_like", "path_like", "body_like") else F.lit(False)).alias(f) for f in FLAGS])
+    parts = [by("exact_key", "_k", F.col("_key")), by("exact_citation", "_c", F.col("_cite")), by("exact_heading", "_h", F.col("_q")), like]
     return reduce(DataFrame.unionByName, parts).groupBy("query_id", "section_id").agg(*[F.max(f).alias(f) for f in FLAGS])
 
 
-def candidates(sections: DataFrame, queries: DataFrame) -> DataFrame:
+def candidates(index: Index, q: DataFrame) -> DataFrame:
     """The sections that each query meets (signals), with what ranking needs of them; the corpus filter is applied."""
-    base, q = light(sections), asked(queries)
-    met = signals(sections, base, q).join(base, "section_id").join(small(q.select("query_id", "corpus_filter")), "query_id")
-    met = met.filter(F.col("corpus_filter").isNull() | (F.col("corpus") == F.col("corpus_filter")))
-    return met.select("query_id", "section_id", "slug", "corpus", "citation_label", "path_text", "cluster_key", *FLAGS)
+    return within_corpus(signals(index, q), index, q).select("query_id", "section_id", "slug", "corpus", "citation_label", "path_text", "cluster_key", *FLAGS)
+
+
+def within_corpus(met: DataFrame, index: Index, q: DataFrame) -> DataFrame:
+    met = met.join(index.base, "section_id").join(q.select("query_id", "corpus_filter"), "query_id")
+    return met.filter(F.col("corpus_filter").isNull() | (F.col("corpus") == F.col("corpus_filter")))
 
 
 #: What each signal and each rank is worth.
@@ -113,7 +76,7 @@ def supported(found: DataFrame, signal: Column) -> DataFrame:
 
 def ranked(found: DataFrame) -> DataFrame:
     """Cluster support over the candidates, the overall rank of the signals and the total of each query."""
-    signal = F.col("exact_key") | F.col("exact_citation") | F.col("exact_heading") | F.col("heading_like") | F.col("path_like")
+    signal = F.col("exact_heading") | F.col("heading_like") | F.col("path_like")
     return supported(stage(found, "candidates"), signal).withColumn("overall_rank", overall_rank(ranks=False))
 
 
@@ -137,9 +100,10 @@ def bounds(limit: int, offset: int) -> tuple[int, int]:
     return max(LIMITS[0], min(LIMITS[1], limit)), max(OFFSETS[0], min(OFFSETS[1], offset))
 
 
-def search(sections: DataFrame, queries: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
-    """A page of each query by signals alone."""
-    return page(ranked(candidates(sections, queries)), *bounds(limit, offset))
+def search(sections: DataFrame | None, queries: DataFrame, limit: int = 10, offset: int = 0, index: Index | None = None) -> DataFrame:
+    """A page of each query by signals alone, over a stored index or, without one, over one made of `sections`."""
+    index = index or I.fresh_index(sections, parts=I.SUBSTRINGS)
+    return page(ranked(candidates(index, asked(queries))), *bounds(limit, offset))
 
 
 def focused(results: DataFrame, focus: Column) -> DataFrame:
@@ -148,137 +112,72 @@ def focused(results: DataFrame, focus: Column) -> DataFrame:
     return results.filter(same).withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).filter("_r = 1").drop("_r")
 
 
-def english_postings(sections: DataFrame) -> DataFrame:
-    """(section_id, part, field, class, lexeme, pos) of label, key (simple), heading, path and text; part is 0."""
-    fields = (("label", "A", "citation_label"), ("key", "A", "section_key"), ("heading", "A", "heading"), ("path", "B", F.array_join("path", " ")), ("content", "C", "content"))
-    words = [A.simple_words(F.col(x) if isinstance(x, str) else x) for _, _, x in fields]
-    sizes = [sum((F.size(w) for w in words[:i]), F.lit(0)) for i in range(len(words))]
-    parts = []
-    for (field, kind, _), own, start in zip(fields, words, sizes, strict=True):
-        stems = own if field == "key" else A.english(own)
-        parts.append(sections.select("section_id", F.lit(field).alias("field"), F.lit(kind).alias("class"), start.alias("_o"), F.posexplode(stems).alias("_i", "lexeme")))
-    every = reduce(DataFrame.unionByName, parts).filter("lexeme is not null")
-    return every.select("section_id", F.lit(0).cast("long").alias("part"), "field", "class", "lexeme", (F.col("_o") + F.col("_i")).cast("long").alias("pos"))
-
-
-def chunk_postings(chunks: DataFrame) -> DataFrame:
-    """The same of chunks (section_id, chunk_index, content), whose words have no class; part is the chunk's number."""
-    stems = A.english(A.simple_words(F.col("content")))
-    every = chunks.select("section_id", F.col("chunk_index").alias("part"), F.posexplode(stems).alias("pos", "lexeme")).filter("lexeme is not null")
-    return every.select("section_id", "part", F.lit("chunk").alias("field"), F.lit("D").alias("class"), "lexeme", F.col("pos").cast("long").alias("pos"))
-
-
-def asks(q: DataFrame) -> DataFrame:
-    """(query_id, kind, alt, clause, negated, at, lexeme, length, needed): the words that a query looks for. Kind `match` holds the
-    clauses of its alternatives; `phrase` and `singular` the whole query, and its singular form, as one phrase."""
-    one = lambda x: F.array(F.array(F.struct(x.alias("text"), F.lit(False).alias("negated"))))
-    kinds = F.array(
-        F.struct(F.lit("match").alias("kind"), A.clauses(F.col("q")).alias("alts")), F.struct(F.lit("phrase").alias("kind"), one(F.col("_q")).alias("alts")),
-        F.struct(F.lit("singular").alias("kind"), one(T.singular_phrase(F.col("q"))).alias("alts")),
-    )
-    alts = q.select("query_id", F.explode(kinds).alias("_k")).select("query_id", "_k.kind", F.posexplode("_k.alts").alias("alt", "_c"))
-    each = alts.select("query_id", "kind", "alt", F.posexplode("_c").alias("clause", "_c")).select("query_id", "kind", "alt", "clause", "_c.negated", A.english(A.simple_words(F.col("_c.text"))).alias("_w"))
-    each = each.withColumn("length", F.size(F.array_compact("_w"))).filter("length > 0")
-    needed = each.filter("not negated").groupBy("query_id", "kind", "alt").agg(F.count("*").alias("needed"))
-    words = each.join(needed, ["query_id", "kind", "alt"]).select("query_id", "kind", "alt", "clause", "negated", "length", "needed", F.posexplode("_w").alias("at", "lexeme"))
-    return stage(words.filter("lexeme is not null"), "asks")
-
-
-OWNER = ("query_id", "section_id", "part")
-
-
-def occurrences(posted: DataFrame, asked_: DataFrame) -> DataFrame:
-    """(query, owner, kind, alt, clause, negated, needed, field, class, start): where each clause stands, its words one after another,
-    in the owners that hold the rarest word of an alternative. So a query of many words meets few owners, and only those are
-    joined with all of its words."""
-    alt, owner = ["query_id", "kind", "alt"], ["section_id", "part"]
-    known_few = few(asked_)
-    hits = stage(posted.join(hinted(asked_.select("lexeme").distinct(), known_few), "lexeme", "left_semi"), "hits")
-    often = hits.groupBy("lexeme").agg(F.count("*").alias("_f"))
-    rarest = asked_.filter("not negated").join(often, "lexeme", "left").groupBy(*alt).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "lexeme")).alias("_r"))
-    rarest = stage(rarest.filter("_r.f > 0").select(*alt, F.col("_r.lexeme").alias("lexeme")), "rarest")
-    owners = hits.select(*owner, "lexeme").distinct().join(hinted(rarest, known_few), "lexeme").drop("lexeme")
-    met = owners.join(hinted(asked_, known_few), alt).join(hits, [*owner, "lexeme"]).withColumn("start", F.col("pos") - F.col("at"))
-    keys = [*OWNER, "kind", "alt", "clause", "negated", "needed", "length", "field", "class", "start"]
-    return met.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n = length").select(*keys)
-
-
-def match_ranks(found: DataFrame) -> DataFrame:
-    """(owner, rank) of the owners that an alternative of a query matches: all its clauses hold, none that is negated."""
-    weight = F.coalesce(*[F.when(F.col("class") == c, F.lit(w)) for c, w in A.WEIGHTS.items()])
-    alts = found.filter("kind = 'match'").groupBy(*OWNER, "alt", "needed").agg(
-        F.count_if("negated").alias("_bad"), F.size(F.collect_set(F.when(~F.col("negated"), F.col("clause")))).alias("_got"),
-        F.array_sort(F.collect_list(F.when(~F.col("negated"), F.struct(F.col("start").alias("pos"), weight.alias("weight"), F.col("clause").alias("term"))))).alias("_hits"),
-    )
-    good = alts.filter("_bad = 0 and _got = needed")
-    return good.withColumn("_r", A.cover_ranks("_hits", F.col("needed").cast("long"))).groupBy(*OWNER).agg(F.max("_r").alias("rank"))
-
-
-def phrase_ranks(found: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(owner, one rank for each field): occurrences of the query's phrase or of its singular form, whichever has more. A field is read
-    without classes, so each occurrence weighs as a word without one."""
-    counts = found.filter(F.col("kind").isin("phrase", "singular") & F.col("field").isin(*fields)).groupBy(*OWNER, "kind", "field").agg(F.count("*").alias("_n"))
-    best = lambda f: (F.coalesce(F.max(F.when(F.col("field") == f, F.col("_n"))), F.lit(0)) * A.WEIGHTS["D"]).alias(f)
-    return counts.groupBy(*OWNER).agg(*[best(f) for f in fields])
-
-
-def search_ranked(sections: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 10, offset: int = 0, posted: DataFrame | None = None, chunk_posted: DataFrame | None = None) -> DataFrame:
-    """A page of each query by all signals and text ranks. `posted` and `chunk_posted` are the postings where they are stored."""
-    base, q = light(sections), asked(queries)
-    words = asks(q)
-    found = stage(occurrences(posted or english_postings(sections), words), "occurrences")
-    key = ["query_id", "section_id"]
-    text = match_ranks(found).select(*key, F.col("rank").alias("section_rank"))
-    phrases = phrase_ranks(found, ("heading", "content", "path")).select(*key, F.col("heading").alias("heading_rank"), F.col("content").alias("body_rank"), F.col("path").alias("path_rank"))
-    met = stage(signals(sections, base, q).join(text, key, "full").na.fill(False, list(FLAGS)), "met")
-    in_chunks = occurrences(chunk_posted or chunk_postings(chunks), words).join(met.select(*key), key, "left_semi")
-    in_chunks = stage(in_chunks, "chunk-occurrences")
-    per_chunk = match_ranks(in_chunks).withColumnRenamed("rank", "chunk_rank").join(phrase_ranks(in_chunks, ("chunk",)).withColumnRenamed("chunk", "chunk_phrase_rank"), list(OWNER), "full").na.fill(0.0)
-    best = per_chunk.groupBy(*key).agg(F.max(F.struct("chunk_phrase_rank", "chunk_rank", (-F.col("part")).alias("_p"))).alias("_b")).select(*key, "_b.chunk_phrase_rank", "_b.chunk_rank")
-    ranks = ["section_rank", "heading_rank", "body_rank", "path_rank", "chunk_phrase_rank", "chunk_rank"]
-    every = met.join(phrases, key, "left").join(best, key, "left").na.fill(0.0, ranks).join(base, "section_id").join(small(q.select("query_id", "corpus_filter")), "query_id")
-    every = every.filter(F.col("corpus_filter").isNull() | (F.col("corpus") == F.col("corpus_filter"))).select("query_id", "section_id", "slug", "corpus", "citation_label", "path_text", "cluster_key", *FLAGS, *ranks)
+def search_ranked(sections: DataFrame | None, chunks: DataFrame | None, queries: DataFrame, limit: int = 10, offset: int = 0, index: Index | None = None) -> DataFrame:
+    """A page of each query by all signals and text ranks, over a stored index or, without one, over one made of `sections` and `chunks`."""
+    index = index or I.fresh_index(sections, chunks)
+    q, key = asked(queries), ["query_id", "section_id"]
+    words = stage(I.asked_words(q), "asked-lexemes")
+    trees = I.search_trees(words)
+    found = stage(I.ranked_texts(index.postings, index.lexemes, "section", words, trees), "ranks")
+    of = lambda kinds, field=None: F.coalesce(F.max(F.when(F.col("kind").isin(*kinds) & (F.lit(True) if field is None else F.col("field") == field), F.col("rank"))), F.lit(0.0))
+    phrases = ("phrase", "singular")
+    ranks = found.groupBy(*key).agg(of(("match",)).alias("section_rank"), of(phrases, "heading").alias("heading_rank"), of(phrases, "content").alias("body_rank"), of(phrases, "path").alias("path_rank"), F.max(F.col("kind") == "match").alias("_match"))
+    every = signals(index, q).withColumn("_signal", F.lit(True)).join(ranks, key, "full").filter("_match or _signal").na.fill(False, list(FLAGS))
+    met = stage(within_corpus(every, index, q).select("query_id", "section_id", "slug", "corpus", "citation_label", "path_text", "cluster_key", *FLAGS, "section_rank", "heading_rank", "body_rank", "path_rank"), "met")
+    best = I.best_parts(I.ranked_texts(index.chunk_postings, index.lexemes, "chunk", words, trees, met.select(*key)))
+    whole = met.join(best, key, "left").na.fill(0.0, ["section_rank", "heading_rank", "body_rank", "path_rank", "chunk_phrase_rank", "chunk_rank"])
     signal = F.col("exact_heading") | F.col("heading_like") | F.col("path_like") | (F.col("heading_rank") > 0) | (F.col("body_rank") > 0) | (F.col("path_rank") > 0)
-    scored = supported(stage(every, "candidates"), signal).withColumn("overall_rank", overall_rank())
+    scored = supported(stage(whole, "candidates"), signal).withColumn("overall_rank", overall_rank())
     matches = {"heading_match": F.col("heading_like") | (F.col("heading_rank") > 0), "body_match": F.col("body_like") | (F.col("body_rank") > 0), "path_match": F.col("path_like") | (F.col("path_rank") > 0)}
     return page(scored, *bounds(limit, offset)).withColumns(matches)
 
 
 def compiled(queries: DataFrame) -> DataFrame:
-    """(query_id, match, phrase, singular): what the searches look for, as text."""
-    words = asks(asked(queries)).groupBy("query_id", "kind", "alt", "clause", "negated").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "lexeme"))), lambda x: x["lexeme"]), " <-> ").alias("_c"))
-    alts = words.groupBy("query_id", "kind", "alt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause", F.concat(F.when(F.col("negated"), "!").otherwise(""), "_c").alias("c")))), lambda x: x["c"]), " & ").alias("_a"))
-    kinds = alts.groupBy("query_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alt", "_a"))), lambda x: x["_a"]), " | ").alias("_t"))
-    return kinds.groupBy("query_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("_t"))).alias(k) for k in ("match", "phrase", "singular")])
+    """(query_id, match, phrase, singular): what the searches look for, as JSON trees; null where nothing is left of a query."""
+    q = asked(queries)
+    trees = I.search_trees(I.asked_words(q)).groupBy("query_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("tree"))).alias(k) for k in ("match", "phrase", "singular")])
+    return q.select("query_id").join(trees, "query_id", "left")
 
 
 def postings(sections: DataFrame) -> DataFrame:
     """(section_id, class, lexeme, pos): the simple analyser's words of label, key, heading (class A), path (B) and text (C),
     positions counted on from field to field."""
     words = lambda x: F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
-    fields = [("A", F.concat_ws(" ", "citation_label", "section_key", "heading")), ("B", F.array_join("path", " ")), ("C", F.col("content"))]
-    named = lambda c: lambda w: F.struct(F.lit(c).alias("class"), w.alias("lexeme"))
-    marked = F.flatten(F.array(*[F.transform(words(x), named(c)) for c, x in fields]))
-    return sections.select("section_id", F.posexplode(marked).alias("pos", "_w")).select("section_id", "_w.class", "_w.lexeme", F.col("pos").cast("long").alias("pos"))
+    one = sections.select("section_id", words(F.concat_ws(" ", "citation_label", "section_key", "heading")).alias("a"), words(F.array_join("path", " ")).alias("b"), words(F.col("content")).alias("c"))
+    field = lambda name, start, own: F.struct(F.lit(name).alias("class"), start.alias("start"), F.col(own).alias("words"))
+    fields = one.select("section_id", F.explode(F.array(field("A", F.lit(0), "a"), field("B", F.size("a"), "b"), field("C", F.size("a") + F.size("b"), "c"))).alias("_f"))
+    return fields.select("section_id", "_f.class", "_f.start", F.posexplode("_f.words").alias("_i", "lexeme")).select("section_id", "class", "lexeme", (F.col("start") + F.col("_i")).cast("long").alias("pos"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, at, lexeme, terms) of each query's words."""
+    """(query_id, at, lexeme, terms, length) of each query's words."""
     words = F.regexp_extract_all(F.lower("q"), F.lit(r"[\p{L}\p{N}]+"), 0)
     return queries.select("query_id", F.posexplode(words).alias("at", "lexeme"), F.size(F.array_distinct(words)).alias("terms"), F.size(words).alias("length"))
 
 
+def _rarest(own: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
+    """Of each query the word that the fewest rows of `own` have; queries with a word that has none are left out."""
+    counts = own.groupBy("lexeme").agg(F.count("*").alias("_f"))
+    return terms.join(counts, "lexeme", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "lexeme", *keep)).alias("_r")).filter("_r.f > 0").select("query_id", "_r.lexeme", *[F.col(f"_r.{c}") for c in keep])
+
+
 def term_match(posted: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, section_id, hits): sections that hold all terms."""
-    terms = query_terms(queries).select("query_id", "lexeme", "terms").distinct()
-    met = posted.join(small(terms), "lexeme").groupBy("query_id", "section_id", "terms").agg(F.countDistinct("lexeme").alias("_got"), F.count("*").alias("hits"))
+    """(query_id, section_id, hits): sections that hold all terms. Only asked words are kept, and only sections with a query's rarest
+    word are looked at."""
+    terms = stage(query_terms(queries).select("query_id", "lexeme", "terms").distinct(), "terms")
+    own = stage(posted.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("section_id", "lexeme").agg(F.count("*").alias("_n")), "asked-words")
+    owners = own.join(_rarest(own, terms), "lexeme").select("query_id", "section_id")
+    met = owners.join(terms, "query_id").join(own, ["section_id", "lexeme"]).groupBy("query_id", "section_id", "terms").agg(F.count("*").alias("_got"), F.sum("_n").alias("hits"))
     return met.filter("_got = terms").select("query_id", "section_id", "hits")
 
 
 def phrase_match(posted: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, section_id, phrases): how often the query's words follow each other."""
-    met = posted.join(small(query_terms(queries)), "lexeme").withColumn("_start", F.col("pos") - F.col("at"))
-    whole = met.groupBy("query_id", "section_id", "_start", "length").agg(F.count("*").alias("_n")).filter("_n = length")
+    """(query_id, section_id, phrases): how often the query's words follow each other, looked for around its rarest word."""
+    terms = stage(query_terms(queries).select("query_id", "at", "lexeme", "length"), "terms")
+    own = stage(posted.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").select("section_id", "lexeme", "pos"), "asked-words")
+    starts = own.join(_rarest(own, terms, "at"), "lexeme").select("query_id", "section_id", (F.col("pos") - F.col("at")).alias("_start"))
+    wanted = starts.join(terms, "query_id").withColumn("pos", F.col("_start") + F.col("at"))
+    whole = wanted.join(own, ["section_id", "pos", "lexeme"]).groupBy("query_id", "section_id", "_start", "length").agg(F.count("*").alias("_n")).filter("_n = length")
     return whole.groupBy("query_id", "section_id").agg(F.count("*").alias("phrases"))
 
 
@@ -287,6 +186,6 @@ def best_chunk(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     terms = queries.select("query_id", F.array_distinct(F.regexp_extract_all(F.lower("q"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("_t"))
     words = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), 0)
     posted = chunks.select("section_id", "chunk_index", F.explode(F.array_distinct(words)).alias("lexeme"))
-    met = posted.join(small(terms.select("query_id", F.explode("_t").alias("lexeme"))), "lexeme").groupBy("query_id", "section_id", "chunk_index").agg(F.count("*").alias("term_hits"))
+    met = posted.join(terms.select("query_id", F.explode("_t").alias("lexeme")), "lexeme").groupBy("query_id", "section_id", "chunk_index").agg(F.count("*").alias("term_hits"))
     order = W.partitionBy("query_id", "section_id").orderBy(F.desc("term_hits"), "chunk_index")
     return met.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")

@@ -78,7 +78,7 @@ c as (select q.query_id, s.*, array_to_string(s.path, ' > ') as pt,
   coalesce(lower(s.section_key) = q.cite, false) as ek, coalesce(lower(s.citation_label) = q.cite, false) as ec, lower(coalesce(s.heading, '')) = q.q as eh,
   contains(lower(coalesce(s.heading, '')), q.q) as hl, q.words = 1 and contains(lower(s.content), q.q) as bl, contains(lower(array_to_string(s.path, ' > ')), q.q) as pl
   from s, q where q.q <> ''),
-f as (select *, count(*) filter (where ek or ec or eh or hl or pl) over (partition by query_id, slug, ck) as sup, count(*) over (partition by query_id) as total from c where ek or ec or eh or hl or bl or pl),
+f as (select *, count(*) filter (where eh or hl or pl) over (partition by query_id, slug, ck) as sup, count(*) over (partition by query_id) as total from c where ek or ec or eh or hl or bl or pl),
 r as (select *, 1200 * ek::int + 1100 * ec::int + 240 * eh::int + 80 * hl::int + 70 * pl::int + 2 * bl::int + case when sup >= 2 then least(45 * (sup - 1), 135) else 0 end as overall_rank from f),
 p as (select *, row_number() over (partition by query_id order by overall_rank desc, eh desc, sup desc, citation_label, section_id) as place from r)
 select query_id, place, section_id, cast(overall_rank as bigint) as overall_rank, {cols} total, total > {limit + offset} as has_more from p where place > {offset} and place <= {limit + offset}"""

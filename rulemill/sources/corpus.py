@@ -66,10 +66,8 @@ def merged_metadata(old: str, new: str):
 
 def joined(parts: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
     """Sections or chunks with the columns of their document; those without one are left out."""
-    from .staging import small
-
     names = [c for c in documents.columns if c not in parts.columns or c == key]
-    return parts.join(small(documents.select(*names)), key)
+    return parts.join(documents.select(*names), key)
 
 
 def catalog(spark: SparkSession) -> DataFrame:

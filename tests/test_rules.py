@@ -1,6 +1,7 @@
 """Rules of the corpus engine: fixed cases, golden rows and plain-Python versions of what SQL cannot express."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from rulemill.functions import analysis as A
 from rulemill.functions import present as P
 from rulemill.functions import text as T
 from rulemill.operators import answers as AV
-from rulemill.operators import assistant, chunking, concepts, search
+from rulemill.operators import assistant, chunking, concepts, index, search
 from rulemill.plans.registry import checked, registry
 from rulemill.sources import corpus, pages
 from rulemill.streaming import query_log
@@ -75,21 +76,58 @@ def test_presentation(spark):
     assert spark.range(1).select(P.summary_text(F.lit(1), F.lit(1), F.lit("standing_orders"), F.lit(7))).first()[0] == "1 of 1 result in Standing Orders · 7 ms"
 
 
-def test_stems_and_cover_ranks():
-    want = dict(caresses="caress", ponies="poni", cats="cat", agreed="agre", plastered="plaster", motoring="motor", sing="sing", conflated="conflat", hopping="hop", filing="file", happy="happi", relational="relat", rational="ration", digitizer="digit", operator="oper", feudalism="feudal", hopefulness="hope", electrical="electr", goodness="good", revival="reviv", adoption="adopt", effective="effect", probate="probat", controlling="control", rate="rate", members="member")
-    assert {w: A.stem(w) for w in want} == want
-    hits = [(0, 1.0, 0), (3, 1.0, 1), (4, 1.0, 0), (20, 0.25, 1)]
-
-    def brute(hits, terms):
-        spans = [(i, j) for i in range(len(hits)) for j in range(i, len(hits)) if len({h[2] for h in hits[i : j + 1]}) == terms]
-        best = [s for s in spans if not any(t != s and t[0] >= s[0] and t[1] <= s[1] for t in spans)]
-        return sum((j - i + 1) / sum(1 / h[1] for h in hits[i : j + 1]) / (1 + max(0, hits[j][0] - hits[i][0] - (j - i))) for i, j in best)
-
-    assert A.cover_rank(hits, 2) == pytest.approx(brute(hits, 2)) and A.cover_rank(hits[:1], 2) == 0
-    for n in range(1, 7):
-        for terms in itertools.product(range(3), repeat=n):
-            own = [(2 * i + i % 2, 0.5, t) for i, t in enumerate(terms)]
-            assert A.cover_rank(own, 3) == pytest.approx(brute(own, 3))
+def test_stems():
+    """Pairs that the stemmer's authors publish as its sample vocabulary."""
+    pairs = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistent consist consistently consist consolation consol consolations consol
+    consolatory consolatori console consol consolidate consolid consolidating consolid consolingly consol consols consol consonant conson consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci
+    conspirator conspir conspire conspir constable constabl constance constanc constancy constanc constant constant knack knack knackeries knackeri knavish knavish kneaded knead kneading knead knee knee knees knee kneeled kneel
+    knif knif knife knife knightly knight knitted knit knives knive knocker knocker generate generat generally general communities communiti hopping hop hoping hope ties tie cries cri dying die news news replacement replac
+    sensational sensat early earli proceed proceed motions motion rulings rule relevancy relev by by say say 89a 89a""".split()
+    assert {w: A.stem(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def holds(tree, hits):
+    """Whether a tree without exclusions holds over some hits (place, lexeme): by the places where a part can begin and end."""
+    if isinstance(tree, str):
+        return {(p, p) for p, w in hits if w == tree}
+    kind, *parts = tree
+    own = [holds(p, hits) for p in parts]
+    if kind == "|":
+        return set().union(*own)
+    if kind == "&":
+        return {(min(x[0] for x in c), max(x[1] for x in c)) for c in itertools.product(*own)}
+    return {(a, d) for a, b in own[0] for c, d in own[1] if c == b + kind}
+
+
+def test_cover_density_equals_all_extents():
+    """Random trees against brute force: of all extents that fulfil a tree those that hold no other."""
+    rng = random.Random(4)
+
+    def tree(depth, phrase=False):
+        kind = rng.choice("w|dd" if phrase else "w&|dd") if depth < 3 else "w"
+        if kind == "w":
+            return rng.choice("abc")
+        if kind == "d":
+            return [rng.choice([1, 2, 3]), tree(depth + 1, True), tree(depth + 1, True)]
+        return [kind, *(tree(depth + 1, phrase) for _ in range(rng.choice([2, 3])))]
+
+    for _ in range(600):
+        t, at = tree(0), 0
+        hits = []
+        for _ in range(rng.randrange(9)):
+            at += rng.choice([1, 1, 2, 5])
+            hits.append((at, rng.choice("abc"), rng.choice([1.0, 0.4, 0.2, 0.1])))
+        found = holds(t, [(p, w) for p, w, _ in hits])
+        least = [x for x in found if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in found)]
+        want = 0.0
+        for start, end in least:
+            own = [1 / w for p, _, w in hits if start <= p <= end]
+            want += len(own) / sum(own) / (1 + (end - start) - (len(own) - 1))
+        got = A.cover_density(t, hits)
+        assert (got is None) == (not found) and (got or 0.0) == pytest.approx(want), (t, hits)
+    hits = [(1, "a", 0.1), (2, "b", 0.1), (5, "a", 0.1)]
+    assert A.cover_density(["&", "a", ["!", "c"]], hits) == pytest.approx(0.2) and A.cover_density(["&", "a", ["!", "b"]], hits) is None
+    assert A.cover_density([1, "a", ["!", "b"]], hits) == pytest.approx(0.1) and A.cover_density([2, ["!", "b"], "a"], hits) == pytest.approx(0.2)
 
 
 SECTIONS = "section_id long, slug string, corpus string, section_key string, citation_label string, heading string, path array<string>, content string"
@@ -137,8 +175,9 @@ def test_ranked_search(spark):
     assert [r.section_id for r in got[3]] == [3]
     assert {r.section_id for r in got[4]} == {1, 2, 7, 8} and 6 not in got and 7 not in got
     assert all(r.total == len(got[r.query_id]) for r in rows)
-    assert {r.match for r in search.compiled(spark.createDataFrame([(3, q[2][1], None)], "query_id int, q string, corpus_filter string")).collect()} == {"point <-> order & !evas"}
-    first = search.page(search.ranked(search.candidates(s, spark.createDataFrame([(1, "chairperson", None)], "query_id int, q string, corpus_filter string"))), 1, 1)
+    assert {r.match for r in search.compiled(spark.createDataFrame([(3, q[2][1], None)], "query_id int, q string, corpus_filter string")).collect()} == {'["&",[2,"point","order"],["!","evas"]]'}
+    one = search.asked(spark.createDataFrame([(1, "chairperson", None)], "query_id int, q string, corpus_filter string"))
+    first = search.page(search.ranked(search.candidates(index.fresh_index(s, parts=index.SUBSTRINGS), one)), 1, 1)
     assert [(r.place, r.has_more) for r in first.collect()] == [(2, False)] and search.bounds(99, -1) == (50, 0)
     shown = spark.createDataFrame([(r.query_id, r.place, r.section_id, r.citation_label) for r in rows], "query_id int, place long, section_id long, citation_label string")
     focus = search.focused(shown.join(s.select("section_id", "section_key"), "section_id"), F.lit("22/5")).collect()
