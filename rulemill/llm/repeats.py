@@ -82,19 +82,48 @@ PLACES = "h long, g long, key long, place long"
 ANNOUNCED = 1 << 20
 
 
+#: Two 64-bit hashes of one string.
+PAIR = np.dtype([("h", np.int64), ("g", np.int64)])
+
+
+def distinct_pairs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pairs, where each is first, the number of each row's pair, how often each occurs), ordered by h, then g."""
+    order = np.argsort(h, kind="stable")
+    if len(h) > 1 and (np.diff(h[order]) == 0).any():
+        order = np.lexsort((g, h))
+    x, y = h[order], g[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (np.diff(x) != 0) | (np.diff(y) != 0)
+    at = np.flatnonzero(new)
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    unique = np.empty(len(at), PAIR)
+    unique["h"], unique["g"] = x[at], y[at]
+    return unique, order[at], inverse, np.diff(np.append(at, len(h)))
+
+
+def known_pairs(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of some distinct pairs, ordered by h and g, occur in `known`. Pairs whose h occurs are compared whole."""
+    found = np.isin(pairs["h"], known["h"])
+    if found.any():
+        have = set(known[np.isin(known["h"], pairs["h"][found])].tolist())
+        found[found] = [p in have for p in pairs[found].tolist()]
+    return found
+
+
 class Places:
     """The places of one task's strings, combined before the shuffle. A string that the task sees once is a row that waits for others.
     One that it sees again is announced by one row (key 0), once a task, and its places are ready: runs of starts that are
-    repeated already. So a string that occurs everywhere is a few rows of each task and never a hot group."""
+    repeated already. So a string that occurs everywhere is a few rows of each task and never a hot group. Strings are told apart
+    by both hashes throughout."""
 
     def __init__(self):
-        self.known = np.zeros(0, np.int64)
+        self.known = np.zeros(0, PAIR)
 
     def rows(self, h: np.ndarray, g: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
         h, g = h.view(np.int64), g.view(np.int64)
-        name = h ^ (g * 0x2545F4914F6CDD1D)
-        unique, first, inverse, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-        told = np.isin(unique, self.known)
+        unique, first, inverse, n = distinct_pairs(h, g)
+        told = known_pairs(unique, self.known)
         loud = (n > 1) & ~told
         many = ((n > 1) | told)[inverse]
         single, one = ~many, first[loud]

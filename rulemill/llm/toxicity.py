@@ -14,7 +14,7 @@ The driver holds the sample's texts and the n-grams of one pass's windows, never
 task holds one text's arrays at a time, and very long texts go through in blocks of whole windows.
 
 Defined cases: null and empty texts have no n-grams and get the score of an empty bag; a null id counts as the empty text in the
-fold; without labels of both classes all scores are 0; with them, a class without a text that fits is an error; repeated rows are scored each; other columns are ignored.
+fold; without labelled documents of both classes all scores are 0; with them, a class without a text that fits is an error; repeated rows are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -202,9 +202,11 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, per_class: int = PER_CLASS, chars: int = TRAIN_CHARS, share: float = TEXT_SHARE) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts, the same at every run: the lowest hashes of each class, then whole texts that fit in
-    half of `chars`, in hash order; texts over `share` of that half come after all others."""
-    known = labels.filter(keep & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("_y")).withColumn("_h", F.xxhash64(F.lit("sample"), "doc_id"))
+    """A bounded sample of labelled texts, the same at every run: of the labels that have a document the lowest hashes of each class,
+    then whole texts that fit in half of `chars`, in hash order; texts over `share` of that half come after all others. A class may
+    have no document; training then gives the flat model. One whose texts are all too long for `chars` is an error."""
+    present = docs.select("doc_id").distinct()
+    known = labels.filter(keep & F.col(label_col).isin(0, 1)).join(present, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(label_col).alias("_y")).withColumn("_h", F.xxhash64(F.lit("sample"), "doc_id"))
     classes = [known.filter(F.col("_y") == y).orderBy("_h", "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(classes[0].unionByName(classes[1]))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(chosen, "doc_id").withColumn("_t", F.xxhash64("_text"))
@@ -218,8 +220,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
                 left -= r["n"]
                 taken.append((r["_h"], r["doc_id"], r["_t"]))
                 found.add(y)
-    if len(found) < 2 and not docs.isEmpty() and known.select("_y").distinct().count() == 2:
-        raise ValueError(f"labels of both classes, but of class {min({0, 1} - found)} no labelled text of at most {half} characters")
+    if len(found) < 2 and known.select("_y").distinct().count() == 2:
+        raise ValueError(f"documents labelled with both classes, but of class {min({0, 1} - found)} no text of at most {half} characters")
     pick = set(taken)
     keys = F.broadcast(docs.sparkSession.createDataFrame([(h, t) for h, _, t in sorted(pick, key=str)], "_h long, _t long").distinct())
     rows = sorted((r["_h"], r["doc_id"], r["_t"], r["_text"], r["_y"]) for r in texts.join(keys, ["_h", "_t"]).select("_h", "doc_id", "_t", "_text", "_y").toLocalIterator())

@@ -56,7 +56,7 @@ def test_repair_cases(spark):
         (1, 0, "user", "Q?"), (1, 1, "assistant", "A."), (1, 1, "assistant", "A."), (1, 3, "user", "  \t"),
         (2, None, "system", "Be kind."), (2, 5, "user", None), (2, 7, None, "Hm!"),
         (None, 0, "user", "one."), (None, 1, "assistant", "cut"),
-        (3, 2, "user", "x" * 300_000 + "."), (3, 3, "assistant", "y.  "),
+        (3, 2, "user", "x" * 300_000 + "."), (3, 3, "assistant", "y. \t"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     crowded = df
