@@ -83,7 +83,8 @@ def _or(x: Column, other: str) -> Column:
 
 
 def _fixed(x: Column) -> Column:
-    return F.format_string("%.2f", x.cast("decimal(38,2)").cast("double"))
+    """Two digits, halves away from zero; null stays."""
+    return F.when(x.isNotNull(), F.format_string("%.2f", x.cast("double")))
 
 
 def _joined(items: Column, line, between: str = "\n", none: str = "None") -> Column:

@@ -189,8 +189,12 @@ select section_id, cluster_key, count(*) filter (where contains(lower(content),
 
 
 def queries() -> dict:
-    return {name: function for name, function in globals().items() if name.startswith("q_")} | catalog_rules.queries()
+    from . import catalog_index
+
+    return {name: function for name, function in globals().items() if name.startswith("q_")} | catalog_rules.queries() | catalog_index.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | catalog_rules.SQL
+    from . import catalog_index
+
+    return SQL | catalog_rules.SQL | catalog_index.oracle_sql()

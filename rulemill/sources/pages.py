@@ -7,7 +7,9 @@ first line. Navigation, scripts and styles are left out; nested elements are rea
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -214,24 +216,97 @@ def parse_text_rulings(files: DataFrame) -> DataFrame:
     return _rulings(units.withColumn("_lines", F.flatten(F.transform("_rows", lambda r: r["said"]))), F.col("heading"), ["heading"])
 
 
-#: Hrefs of a page's links, quoted either way.
-HREF = r"""<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+#: Where an index page's links are looked for, the first place that has any.
+LINK_PLACES = ('#main-content .main[role="main"] a[href]', '.main[role="main"] a[href]', "main a[href]", "a[href]")
+#: One part of a selector: #id, .class, [attribute] or [attribute="value"].
+CONDITION = re.compile(r"""#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*["']?([^"'\]]*)["']?\s*)?\]""")
+#: Elements without an end tag.
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 
 
-def chapter_urls(pages: DataFrame, base: str, wanted: str, roots: tuple[str, ...] = (r'(?is)<main\b.*</main>', "(?is).*")) -> DataFrame:
-    """(page_id, url, chapter): links of index pages (page_id, html) that fit `wanted`, from the first root (a pattern of a part of
-    the page) that has any; relative ones resolved against `base`, each once, in the order of their chapter's number (group 1)."""
-    site = F.regexp_extract(F.lit(base), r"^(https?://[^/]+)", 1)
-    folder = F.regexp_replace(F.lit(base), "[^/]*$", "")
+def selector(text: str) -> list[tuple[str, list[tuple]]]:
+    """A descendant selector as (tag or "", conditions) of each step. Brackets may hold blanks."""
+    steps = re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", text)
+    return [(re.match(r"[\w-]*", x)[0].lower(), CONDITION.findall(x)) for x in steps]
 
-    def links(root: str) -> Column:
-        raw = F.regexp_extract_all(F.regexp_extract("html", root, 0), F.lit("(?is)" + HREF), 1)
-        full = F.transform(F.transform(raw, T.clean), lambda h: F.when(h.rlike("^https?://"), h).when(h.startswith("//"), F.concat(F.lit("https:"), h)).when(h.startswith("/"), F.concat(site, h)).when(h == "", h).otherwise(F.concat(folder, h)))
-        return F.array_distinct(F.filter(full, lambda h: h.rlike(wanted)))
 
-    found = F.coalesce(*[F.when(F.size(links(r)) > 0, links(r)) for r in roots])
-    each = pages.select("page_id", F.explode(found).alias("url"))
-    return each.withColumn("chapter", F.expr("try_cast(regexp_extract(url, '" + wanted.replace("\\", "\\\\").replace("'", "\\'") + "', 1) as long)"))
+def _fits(step, element) -> bool:
+    tag, conditions = step
+    name, attributes = element
+    known = {k: v or "" for k, v in attributes}
+    return tag in ("", name) and all(
+        known.get("id") == i if i else c in known.get("class", "").split() if c else a.lower() in known and (v == "" or known[a.lower()] == v)
+        for i, c, a, v in conditions
+    )
+
+
+def selects(steps, chain) -> bool:
+    """Whether the last element of `chain` (an element and all that it stands in, the outermost first) fits the selector."""
+    if not _fits(steps[-1], chain[-1]):
+        return False
+    at = 0
+    for element in chain[:-1]:
+        at += at < len(steps) - 1 and _fits(steps[at], element)
+    return at == len(steps) - 1
+
+
+class _Links(HTMLParser):
+    """The elements of a page that fit any of some selectors, with their attributes and which they fit; end tags may be missing."""
+
+    def __init__(self, selectors):
+        super().__init__(convert_charrefs=True)
+        self.selectors, self.open, self.found = selectors, [], []
+
+    def handle_starttag(self, tag, attrs):
+        chain = [*self.open, (tag, attrs)]
+        fit = [selects(s, chain) for s in self.selectors]
+        if any(fit):
+            self.found.append((dict(attrs), fit))
+        if tag not in VOID:
+            self.open = chain
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        last = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if last is not None:
+            self.open = self.open[:last]
+
+
+def page_links(html: str, base: str, selectors) -> list[tuple[str, list[bool]]]:
+    """(address, which selectors it fits) of the links of a page, in order, resolved against `base`; what is no address is left out."""
+    reader, out = _Links(selectors), []
+    reader.feed(html)
+    reader.close()
+    for attributes, fit in reader.found:
+        href = " ".join((attributes.get("href") or "").split())
+        try:
+            url = urljoin(base, href) if href else ""
+        except ValueError:
+            url = ""
+        if url:
+            out.append((url, fit))
+    return out
+
+
+def chapter_urls(pages: DataFrame, base: str, wanted: str, selectors: tuple[str, ...] = LINK_PLACES) -> DataFrame:
+    """(page_id, place, url, chapter): links of index pages (page_id, html) whose address fits `wanted`, from the first selector that has
+    any; each once, in the order of their chapter's number (group 1 of `wanted`), those without one last."""
+    steps = [selector(x) for x in selectors]
+
+    @F.pandas_udf("array<struct<url:string,fit:array<boolean>>>")
+    def links(html: pd.Series) -> pd.Series:
+        return html.map(lambda x: [{"url": u, "fit": f} for u, f in page_links(x or "", base, steps)])
+
+    each = pages.select("page_id", F.posexplode(links("html")).alias("_at", "_l")).select("page_id", "_at", "_l.url", F.posexplode("_l.fit").alias("_s", "_fit")).filter(F.col("_fit") & F.col("url").rlike(wanted))
+    first = each.groupBy("page_id", "_s", "url").agg(F.min("_at").alias("_at"))
+    best = first.groupBy("page_id").agg(F.min("_s").alias("_s"))
+    chapter = F.expr("try_cast(regexp_extract(url, '" + wanted.replace("\\", "\\\\").replace("'", "\\'") + "', 1) as long)") if "(" in wanted else F.lit(None).cast("long")
+    found = first.join(best, ["page_id", "_s"]).withColumn("chapter", chapter)
+    place = F.row_number().over(W.partitionBy("page_id").orderBy(F.col("chapter").asc_nulls_last(), "_at"))
+    return found.select("page_id", place.cast("long").alias("place"), "url", "chapter")
 
 
 MANIFEST = "sources array<struct<slug:string,title:string,corpus:string,sourceType:string,sourcePath:string,sourceUrl:string,edition:string,language:string,publishedDate:string,metadata:map<string,string>>>"
