@@ -1,4 +1,4 @@
-"""Checks of drafted answers. An answer is one row; its lines are an array, so the whole gate is one pass without a shuffle.
+"""Checks of drafted answers. An answer is one row; its lines are an array, so no step of the gate shuffles.
 
 Drafts, verdicts on their claims and retrieved authorities are input tables, as model calls are outside this engine.
 """
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.present import quoted
 from ..functions.text import clean
+from ..sources.staging import stage
 
 # The headings of an answer, of which all but the last begin sections whose lines need a citation.
 BOTTOM, BEST = "Bottom line:", "Best authorities to inspect or cite:"
@@ -219,21 +220,25 @@ def gate(drafts: DataFrame) -> DataFrame:
     """(question_id, status, reason, answer) of drafts (question_id, draft, labels array, verdicts array<struct<id,supported>>, gaps
     array, authorities): status `grounded`, or `fallback` with the first check that failed."""
     labels = F.coalesce("labels", F.array().cast("array<string>"))
-    d = drafts.withColumn("labels", labels).withColumn("_t0", formatted(relabelled(F.coalesce("draft", F.lit("")), F.col("labels"))))
-    d = d.withColumn("_t1", formatted(pruned(F.col("_t0"), F.col("labels"))[0])).withColumn("_c1", invalid_citations(F.col("_t1"), F.col("labels"))).withColumn("_m1", invalid_mentions(F.col("_t1"), F.col("labels")))
-    again = formatted(pruned(formatted(rewritten_mentions(F.col("_t1"), F.col("labels"))), F.col("labels"))[0])
-    d = d.withColumn("_t2", F.when(F.size("_m1") > 0, again).otherwise(F.col("_t1"))).withColumn("_m2", invalid_mentions(F.col("_t2"), F.col("labels"))).withColumn("_c2", invalid_citations(F.col("_t2"), F.col("labels")))
+    # Each step is written and read again: inside one expression the steps would be put into each other many times over.
+    own = F.col("labels")
+    d = stage(drafts.withColumn("labels", labels).withColumn("_t0", formatted(relabelled(F.coalesce("draft", F.lit("")), own))), "relabelled")
+    d = stage(d.withColumn("_t1", formatted(pruned(F.col("_t0"), own)[0])), "pruned")
+    d = d.withColumn("_c1", invalid_citations(F.col("_t1"), own)).withColumn("_m1", invalid_mentions(F.col("_t1"), own)).withColumn("_again", F.when(F.size("_m1") > 0, formatted(rewritten_mentions(F.col("_t1"), own))))
+    d = stage(d, "mentions")
+    d = stage(d.withColumn("_t2", F.coalesce(formatted(pruned(F.col("_again"), own)[0]), F.col("_t1"))), "grounded")
     supported = F.transform(F.filter(F.coalesce("verdicts", F.array().cast("array<struct<id:string,supported:boolean>>")), lambda v: v["supported"]), lambda v: v["id"])
-    d = d.withColumn("_claims", F.transform(claims(F.col("_t2")), lambda c: c["id"])).withColumn("_bad", F.array_except("_claims", supported))
-    d = d.withColumn("_t3", without_empty_sections(without_claims(F.col("_t2"), F.col("_bad"))))
-    whole = (F.size(claims(F.col("_t3"))) > 0) & (F.size(invalid_citations(F.col("_t3"), F.col("labels"))) == 0) & (F.size(invalid_mentions(F.col("_t3"), F.col("labels"))) == 0)
+    d = d.withColumn("_m2", invalid_mentions(F.col("_t2"), own)).withColumn("_c2", invalid_citations(F.col("_t2"), own)).withColumn("_claims", F.transform(claims(F.col("_t2")), lambda c: c["id"]))
+    d = stage(d.withColumn("_bad", F.array_except("_claims", supported)), "claims")
+    d = stage(d.withColumn("_t3", without_empty_sections(without_claims(F.col("_t2"), F.col("_bad")))), "supported")
+    whole = (F.size(claims(F.col("_t3"))) > 0) & (F.size(invalid_citations(F.col("_t3"), own)) == 0) & (F.size(invalid_mentions(F.col("_t3"), own)) == 0)
     reason = (
         F.when(F.col("_t0") == "", "the draft was empty").when(F.col("_t1") == "", "nothing was left after unsupported content was removed")
         .when(F.size("_c1") > 0, F.concat(F.lit("cited authorities that were not retrieved: "), F.array_join("_c1", ", ")))
         .when((F.size("_m1") > 0) & ((F.size("_m2") > 0) | (F.size("_c2") > 0) | (F.col("_t2") == "")), F.concat(F.lit("authorities that could not be grounded: "), F.array_join(F.when(F.size("_m2") > 0, F.col("_m2")).otherwise(F.col("_c2")), ", ")))
         .when(F.size("_claims") == 0, "no grounded claims remained").when(~has_content(F.col("_t3"), BOTTOM), "the bottom line was lost").when(~whole, "no valid set of claims was left")
     )
-    d = d.withColumn("reason", reason)
+    d = stage(d.withColumn("reason", reason), "reasons")
     return d.select("question_id", F.when(F.col("reason").isNull(), "grounded").otherwise("fallback").alias("status"), "reason", F.when(F.col("reason").isNull(), with_gaps(F.col("_t3"), F.col("gaps"))).otherwise(fallback(F.col("authorities"), F.col("reason"))).alias("answer"))
 
 

@@ -1,7 +1,7 @@
 """Concepts of questions, query plans, authority scoring, discovery, recovery and slot-covering selection.
 
-Everything is keyed by question, so one job serves any number of them. The registry is a small table whose size is checked before it
-is broadcast. Inputs: questions (question_id, question, planned array, terms array); searches' results (question_id, query_index,
+Everything is keyed by question, so one job serves any number of them. The registry is a table of the code's own
+concepts, so its size is known. Inputs: questions (question_id, question, planned array, terms array); searches' results (question_id, query_index,
 query, provenance, search_corpus, bridge_source_query, bridge_source_label, place, and the columns of a search: section_id,
 citation_label, heading, path, corpus, content, rank, cluster_support, exact_key, exact_citation, exact_heading, heading_match,
 body_match, path_match).

@@ -42,10 +42,9 @@ def q_line_classes(spark, d):
 
 
 def q_cluster_support(spark, d):
-    s = sections(spark, d).withColumn("cluster_key", search.cluster_key(F.col("slug"), F.col("path")))
-    from pyspark.sql import Window as W
-
-    return s.select("section_id", "cluster_key", F.count_if(F.lower("content").contains("tion")).over(W.partitionBy("slug", "cluster_key")).cast("long").alias("support"))
+    s = sections(spark, d).select("section_id", "slug", search.cluster_key(F.col("slug"), F.col("path")).alias("cluster_key"), F.lower("content").contains("tion").alias("_has"))
+    counts = s.groupBy("slug", "cluster_key").agg(F.count_if("_has").cast("long").alias("support"))
+    return s.join(counts, ["slug", "cluster_key"]).select("section_id", "cluster_key", "support")
 
 
 def _queries(spark, d):

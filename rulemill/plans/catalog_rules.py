@@ -151,18 +151,8 @@ def q_compiled_queries(spark, d):
     return search.compiled(_questions(spark, d).select(F.col("question_id").alias("query_id"), F.col("question").alias("q"), F.lit(None).cast("string").alias("corpus_filter")))
 
 
-_made: dict = {}
-
-
 def _rounds(spark, d):
-    """The rounds over one folder's questions; made once an application, as several queries read them."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _made:
-        _made[key] = _new_rounds(spark, d)
-    return _made[key]
-
-
-def _new_rounds(spark, d):
+    """The rounds over one folder's questions."""
     book = rulebook(spark, d)
     return assistant.answer_rounds(_questions(spark, d), book, chunking.blocks(book).select("section_id", F.col("block").alias("chunk_index"), F.col("text").alias("content")), registry(spark))
 
