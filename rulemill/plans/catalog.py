@@ -188,12 +188,12 @@ select section_id, cluster_key, count(*) filter (where contains(lower(content),
 
 
 def queries() -> dict:
-    from . import catalog_index
+    from . import catalog_answers, catalog_index, catalog_scores
 
-    return {name: function for name, function in globals().items() if name.startswith("q_")} | catalog_rules.queries() | catalog_index.queries()
+    return {name: function for name, function in globals().items() if name.startswith("q_")} | catalog_rules.queries() | catalog_index.queries() | catalog_answers.queries() | catalog_scores.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_index
+    from . import catalog_answers, catalog_index, catalog_scores
 
-    return SQL | catalog_rules.SQL | catalog_index.oracle_sql()
+    return SQL | catalog_rules.SQL | catalog_index.oracle_sql() | catalog_answers.oracle_sql() | catalog_scores.oracle_sql()
