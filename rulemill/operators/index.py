@@ -78,10 +78,11 @@ def dictionary(words: DataFrame) -> DataFrame:
 
 
 def posted(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(slug, section_id, part, field, class, lexeme, positions): one row for each lexeme of a field, by a dictionary of the words."""
-    known = rows.join(known, "word", "left")
+    """(slug, section_id, part, field, class, lexeme, pos): one row for each word, by a dictionary of the words. Rows are neither
+    gathered nor shuffled here: sorted by lexeme and section they lie together in the store."""
+    words = rows.join(known, "word", "left")
     lexeme = F.when(F.col("field") == "key", F.col("word")).otherwise(F.col("lexeme")).alias("lexeme")
-    return known.select("slug", "section_id", "part", "field", "class", lexeme, "pos").groupBy("slug", "section_id", "part", "field", "class", "lexeme").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return words.select("slug", "section_id", "part", "field", "class", lexeme, "pos")
 
 
 def grams_of(s: Column) -> Column:
@@ -214,8 +215,8 @@ def ranked_texts(stored: DataFrame, lexemes: DataFrame, part_of: str, words: Dat
     found = wanted.join(own, ["section_id", "part", "lexeme"])
     match = F.col("kind") == "match"
     weight = F.coalesce(*[F.when(F.col("class") == c, F.lit(w)) for c, w in A.WEIGHTS.items() if c != "D"], F.lit(A.WEIGHTS["D"]))
-    hits = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("lexeme").alias("lexeme"), F.when(match, weight).otherwise(F.lit(A.WEIGHTS["D"])).alias("weight")))
-    texts = found.withColumn("field", F.when(~match, F.col("field"))).withColumn("_h", hits).groupBy("query_id", "kind", "section_id", "part", "field").agg(F.array_sort(F.flatten(F.collect_list("_h"))).alias("_h"), F.collect_set("lexeme").alias("_s"))
+    hit = F.struct("pos", "lexeme", F.when(match, weight).otherwise(F.lit(A.WEIGHTS["D"])).alias("weight"))
+    texts = found.withColumn("field", F.when(~match, F.col("field"))).groupBy("query_id", "kind", "section_id", "part", "field").agg(F.array_sort(F.collect_list(hit)).alias("_h"), F.collect_set("lexeme").alias("_s"))
     able = texts.join(trees, ["query_id", "kind"]).filter(F.exists("needed", lambda l: F.size(F.array_except(l, F.col("_s"))) == 0))  # noqa: E741
     of = lambda name: F.transform("_h", lambda h: h[name])
     return able.withColumn("rank", A.cover_densities("tree", of("pos"), of("lexeme"), of("weight"))).filter("rank is not null").select("query_id", "section_id", "part", "kind", "field", "rank")
