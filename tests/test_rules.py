@@ -41,6 +41,11 @@ def test_unit_starts_and_cut_points(spark):
     assert chunking.cut_point("a" * 1200 + ". " + "b" * 200 + "; " + "c" * 3000, 1800) == 1403
     assert chunking.cut_point("a" * 1200 + " (a) " + "b" * 300 + ". " + "c" * 3000, 1800) == 1200
     assert chunking.cut_point("a" * 1200 + " " + "b" * 3000, 1800) == 1200
+    # A clause right at the limit counts whole, however long its bracket is; one after it does not.
+    for clause in ("(a)", "(12A)", "(XXXVIII)", "•"):
+        assert chunking.cut_point("a" * 1200 + ". " + "b" * 597 + f" {clause} " + "c" * 900, 1800) == 1799
+        assert chunking.cut_point("a" * 1200 + ". " + "b" * 598 + f" {clause} " + "c" * 900, 1800) == 1800
+        assert chunking.cut_point("a" * 1200 + ". " + "b" * 599 + f" {clause} " + "c" * 900, 1800) == 1201
     text = "x" * 1799 + ". " + "y" * 100
     assert [len(c) for c in chunking.pack([text])] == [1800, 100]
 
@@ -76,6 +81,16 @@ def test_presentation(spark):
     assert spark.range(1).select(P.summary_text(F.lit(1), F.lit(1), F.lit("standing_orders"), F.lit(7))).first()[0] == "1 of 1 result in Standing Orders · 7 ms"
 
 
+def test_packing_loses_nothing():
+    """Random blocks: chunks keep all characters but white space, in order, none longer than the room (and one mark); a block that fits is not cut."""
+    rng = random.Random(8)
+    for _ in range(200):
+        parts = [" ".join("".join(rng.choice("ab.;:(c)•") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, rng.choice([5, 60])))) for _ in range(rng.randrange(1, 8))]
+        out = chunking.pack(parts, 60, 90)
+        assert "".join("".join(out).split()) == "".join("".join(parts).split()) and all(0 < len(c) <= 91 for c in out)
+        assert all(any(p in c for c in out) for p in parts if len(p) <= 90)
+
+
 def test_stems():
     """Pairs that the stemmer's authors publish as its sample vocabulary."""
     pairs = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistent consist consistently consist consolation consol consolations consol
