@@ -160,7 +160,9 @@ def mine(embeddings: DataFrame, anchor: Column, id_col: str = "vec_id", vector_c
     own = rows.filter(F.col("anchor") & F.col("id").isNotNull()).select(F.col("_row").alias("q"), "_row", "id", "label", "v")
     first = own.drop("id").select("*", F.lit(True).alias("same"), F.lit(-bound).cast("long").alias("lo"), F.lit(bound).cast("long").alias("hi"))
     near = stage(select_top(rows, first, positives, total, bound).select("q", "place", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
-    least, most = F.expr(f"({low} * positive_score + 99) div 100"), F.expr(f"{high} * positive_score div 100")
+    # Of scores from 0, rounded up and down; by hundreds and the rest, so large scores don't overflow.
+    hundreds, rest = "positive_score div 100", "positive_score % 100"
+    least, most = F.expr(f"({hundreds}) * {low} + (({rest}) * {low} + 99) div 100"), F.expr(f"({hundreds}) * {high} + ({rest}) * {high} div 100")
     pairs = near.filter("positive_score >= 0").withColumn("lo", least).withColumn("hi", most).filter("lo <= hi").join(own, "q")
     pairs = stage(pairs.select((F.col("q") * positives + F.col("place") - 1).alias("q"), "_row", F.col("id").alias("anchor_id"), "positive_id", "positive_score", "label", "v", F.lit(False).alias("same"), "lo", "hi"), "pairs")
     found = select_top(rows, pairs.drop("anchor_id", "positive_id", "positive_score"), negatives, total, bound)

@@ -39,7 +39,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     assert rows(queries()[name](spark, SF).toPandas()) == rows(con.sql(oracle_sql()[name]).df())
 
