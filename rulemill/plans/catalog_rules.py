@@ -220,7 +220,7 @@ def q_discovery(spark, d):
 def q_headings(spark, d):
     s = sections(spark, d).filter("heading is not null")
     number, heading = T.order_parts(F.concat((F.col("section_id") % 200).cast("string"), F.when(F.col("section_id") % 3 == 0, "A").otherwise(""), F.lit("  "), F.col("heading")))
-    return s.select("section_id", T.slug(F.col("heading")).alias("slug"), T.title_case(F.lower("heading")).alias("title"), number.alias("number"), heading.alias("order_heading"))
+    return s.select("section_id", T.slug(F.col("heading")).alias("slug"), T.title_case(T.simple_lower(F.col("heading"))).alias("title"), number.alias("number"), heading.alias("order_heading"))
 
 
 def q_trailing_citations(spark, d):
