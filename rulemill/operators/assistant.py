@@ -6,10 +6,10 @@ verdicts of a model are input tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import small, stage
 from . import answers as AV
 from . import concepts as C
 from . import index as I
@@ -25,24 +25,30 @@ def planned(questions: DataFrame, registry: DataFrame) -> DataFrame:
     return plan.select("question_id", (F.col("place") - 1).alias("query_index"), "query", "provenance", F.col("corpus").alias("search_corpus"), none.alias("bridge_source_query"), none.alias("bridge_source_label"))
 
 
-def executed(searches: DataFrame, sections: DataFrame, index: I.Index, limit: int = 10) -> DataFrame:
+def executed(searches: DataFrame, sections: DataFrame, index: I.Index | None, chunks: Column | None = None, limit: int = 10) -> DataFrame:
     """The searches' results, with what selection reads of them."""
     key = F.struct("question_id", "query_index")
-    found = S.search_ranked(None, None, searches.select(key.alias("query_id"), F.col("query").alias("q"), F.col("search_corpus").alias("corpus_filter")), limit, index=index)
+    found = S.search_ranked(sections, chunks, searches.select(key.alias("query_id"), F.col("query").alias("q"), F.col("search_corpus").alias("corpus_filter")), limit, index=index)
     found = found.select(
         F.col("query_id.question_id").alias("question_id"), F.col("query_id.query_index").alias("query_index"), "section_id", "citation_label", "corpus", "place", F.col("overall_rank").alias("rank"), "cluster_support",
         "exact_key", "exact_citation", "exact_heading", "heading_match", "body_match", "path_match",
     )
-    whole = found.join(sections.select("section_id", "heading", "path", "content"), "section_id")
+    found = stage(found, "found")
+    # Rows that are few are sent to the sections, so the texts of the others need not be shuffled.
+    near = small(found.select("section_id").distinct())
+    texts = stage(sections.select("section_id", "heading", "path", "content").join(near, "section_id", "left_semi"), "found-texts")
+    whole = found.join(texts, "section_id")
     return stage(whole.join(searches.select("question_id", "query_index", "query", "provenance"), ["question_id", "query_index"]), "results")
 
 
-def answer_rounds(questions: DataFrame, sections: DataFrame, chunks: DataFrame, registry: DataFrame, index: I.Index | None = None) -> dict[str, DataFrame]:
+def answer_rounds(questions: DataFrame, sections: DataFrame, chunks: DataFrame | Column, registry: DataFrame, index: I.Index | None = None) -> dict[str, DataFrame]:
     """Selection after the bridge and recovery rounds, with `searches`, `results`, `bridge` and `recovery` requests. All rounds search
-    one index, a stored one or, without it, one made of `sections` and `chunks`."""
-    index = index or I.fresh_index(sections, chunks)
+    one index, a stored one or, without it, one made of `sections` and a table of `chunks`; where `chunks` is the array of a section's
+    chunks, the texts are read in each round, without an index."""
+    arrays = chunks if index is None and isinstance(chunks, Column) else None
+    index = index or (None if arrays is not None else I.fresh_index(sections, chunks))
     searches = stage(planned(questions, registry), "searches")
-    results = executed(searches, sections, index)
+    results = executed(searches, sections, index, arrays)
     inferred = stage(C.infer_concepts(questions, registry), "inferred")
     discovered = C.discover(searches, results, inferred, registry)  # all that the bridge needs of a first selection
 
@@ -52,7 +58,7 @@ def answer_rounds(questions: DataFrame, sections: DataFrame, chunks: DataFrame,
         new = stage(requests.join(last, "question_id").withColumn("query_index", F.col("_last") + F.col("place")).select([F.coalesce(columns[c], F.lit(None).cast("string")).alias(c) if c in columns else F.col(c) for c in SEARCHES]), "requests")
         if new.isEmpty():
             return False
-        results = results.unionByName(executed(new, sections, index))
+        results = results.unionByName(executed(new, sections, index, arrays))
         searches = searches.unionByName(new)
         return True
 

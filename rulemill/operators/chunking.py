@@ -6,8 +6,7 @@ import re
 from itertools import takewhile
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,15 +14,17 @@ from ..functions import text as T
 TARGET, MOST = 1200, 1800
 
 
+def block_texts(content: Column) -> Column:
+    """The blocks of a text in order: a blank line or a unit start begins a block; its lines are joined by spaces."""
+    lines = F.transform(F.split(content, "\n"), T.clean)
+    # A clean line has no newline, so one before a line that begins a block makes an empty line there.
+    marked = F.array_join(F.transform(lines, lambda x: F.when((x == "") | T.clean_unit_start(x), F.concat(F.lit("\n"), x)).otherwise(x)), "\n")
+    return F.filter(F.transform(F.split(marked, "\n{2,}"), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))), lambda x: x != "")
+
+
 def blocks(sections: DataFrame) -> DataFrame:
-    """(section_id, block, text): a blank line or a unit start begins a block; its lines are joined by spaces."""
-    lines = sections.select("section_id", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", T.clean(F.col("line"))).withColumn("blank", F.col("line") == "")
-    order = W.partitionBy("section_id").orderBy("pos")
-    starts = F.col("blank") | T.clean_unit_start(F.col("line"))
-    grouped = lines.withColumn("_g", F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(~F.col("blank"))
-    joined = grouped.groupBy("section_id", "_g").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
-    text = T.clean(F.array_join(F.transform("_l", lambda x: x["line"]), " "))
-    return joined.select("section_id", (F.row_number().over(W.partitionBy("section_id").orderBy("_g")) - 1).cast("long").alias("block"), text.alias("text"))
+    """(section_id, block, text) of the blocks of each section."""
+    return sections.select("section_id", F.posexplode(block_texts(F.col("content"))).alias("block", "text")).withColumn("block", F.col("block").cast("long"))
 
 
 #: Fixed value: white space before a clause, a sub-clause or a bullet.
@@ -63,7 +64,7 @@ def pack(parts: list[str], target: int = TARGET, most: int = MOST) -> list[str]:
 
 def chunk_sections(sections: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
     """(section_id, chunk_index, content, token_count_est) of every section."""
-    gathered = blocks(sections).groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]).alias("parts"))
+    gathered = sections.select("section_id", block_texts(F.col("content")).alias("parts")).filter("size(parts) > 0")
 
     @F.pandas_udf("array<string>")
     def packed(parts: pd.Series) -> pd.Series:

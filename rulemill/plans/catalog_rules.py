@@ -142,8 +142,7 @@ def q_search_ranked_en(spark, d):
     words = F.split(T.clean(F.col("text")), " ")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 2, 2), " ").alias("q"), F.lit(None).cast("string").alias("corpus_filter"))
     said = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("query_id"), F.col("text").alias("q"), F.lit(None).cast("string").alias("corpus_filter"))
-    chunks = chunking.blocks(s).select("section_id", F.col("block").alias("chunk_index"), F.col("text").alias("content"))
-    out = search.search_ranked(s, chunks, q.unionByName(said))
+    out = search.search_ranked(s, chunking.block_texts(F.col("content")), q.unionByName(said))
     return out.select("query_id", "place", "section_id", F.round("overall_rank", 6).alias("overall_rank"), "cluster_support", "total", P.result_reason().alias("reason"), P.signal_list().alias("signals"))
 
 
@@ -154,7 +153,7 @@ def q_compiled_queries(spark, d):
 def _rounds(spark, d):
     """The rounds over one folder's questions."""
     book = rulebook(spark, d)
-    return assistant.answer_rounds(_questions(spark, d), book, chunking.blocks(book).select("section_id", F.col("block").alias("chunk_index"), F.col("text").alias("content")), registry(spark))
+    return assistant.answer_rounds(_questions(spark, d), book, chunking.block_texts(F.col("content")), registry(spark))
 
 
 def q_select(spark, d):
